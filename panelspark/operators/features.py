@@ -49,7 +49,7 @@ DERIVED = ("Surface Water", "ln(QSB_acc)", "ln(RW 4 Rainf_tavg)", "Sum Soil Mois
 
 def complete_rows(df: DataFrame, columns) -> DataFrame:
     """Rows without a missing feature."""
-    return df.na.drop("any", list(columns))
+    return df.dropna(how="any", subset=[f"`{c}`" for c in columns])
 
 
 def join_tables(first: DataFrame, *others: DataFrame, on=("entity_id", "ts")) -> DataFrame:
@@ -84,3 +84,8 @@ def climate_features(prior_rows: DataFrame, drought: DataFrame, land: DataFrame,
                   [entity, ts], "left"))
     rows = month_one_hot(complete_rows(rows, scaled), ts)
     return rows, scaled, dummies
+
+
+def split_label(df: DataFrame, label: str, keys=("entity_id", "ts")) -> tuple[DataFrame, DataFrame]:
+    """(label, features), both with the key columns."""
+    return df.select(*keys, label), df.drop(label)

@@ -90,6 +90,8 @@ def _blocks(df: DataFrame, n_blocks: int, entity, own: str, other: str) -> DataF
 
 
 def _pairwise(left: DataFrame, right: DataFrame, n_blocks: int, entity, compare, schema) -> DataFrame:
+    # fresh column ids: both sides may come from the same table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     a = _blocks(left, n_blocks, entity, "_tb", "_cb").groupBy("_tb", "_cb")
     b = _blocks(right, n_blocks, entity, "_cb", "_tb").groupBy("_tb", "_cb")
     empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
@@ -212,3 +214,19 @@ def neighbour_features(chosen: DataFrame, candidates: DataFrame, entity="entity_
     size = chosen.groupBy("target").agg(F.count(F.lit(1)).alias("_k"))
     return (per_slot.join(size, "target").filter(F.size("_f") == F.col("_k"))
             .select(F.col("target").alias(entity), F.col("ts").alias(ts), F.col("_f.v").alias("neighbours")))
+
+
+def nearest_points(points: DataFrame, k: int = 1, entity="entity_id", block: int = BLOCK) -> DataFrame:
+    """(target, candidate, distance, rank): the k nearest other points, ties by candidate."""
+    pts = points.select(F.col(entity).alias("id"), "lon", "lat")
+
+    def compare(a, b):
+        d = _distances(a[["lon", "lat"]].to_numpy(), b[["lon", "lat"]].to_numpy())
+        i, j = np.nonzero(a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
+        out = pd.DataFrame({"target": a["id"].to_numpy()[i], "candidate": b["id"].to_numpy()[j], "distance": d[i, j]})
+        return out.sort_values(["target", "distance", "candidate"]).groupby("target", sort=False).head(k)
+
+    best = _pairwise(pts, pts, _n_blocks(pts, block), "id", compare,
+                     "target string, candidate string, distance double")
+    w = Window.partitionBy("target").orderBy("distance", "candidate")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
