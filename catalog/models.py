@@ -1,0 +1,221 @@
+from pyspark.sql import functions as F
+
+from catalog.aggregates import FRACTIONS, RELATION, _CV, _REL, chosen_relations, cv_pairs, trend_ctes
+from catalog.common import (COARSE, CTE, END, JD, R, START, dense_sql, diamond_edges, drought_grid, grid_sql, land_grid,
+                            nation_points, pa_monthly, pb_monthly, pchip_ctes, pd_daily, query, rounded, table, with_)
+from catalog.joins import _NEAREST_COARSE, coarse_cells, pb_candidates
+from catalog.projections import _GROUNDWATER
+from catalog.windows import CLEAN, PRIOR, middle
+from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES, MONTHS, GridSpec, RunConfig
+from panelspark.operators import features as feat, folds, grid as grids, model, polygon, prior, relate, surface, timeline
+from panelspark.plans.imputation import fit_and_fill, linear_imputation, satellite_imputation, satellite_rows
+from panelspark.plans.refinement import iterative_refinement
+from panelspark.plans.run import Inputs, run
+from panelspark.session import cut_lineage, new_path
+
+NET = RunConfig(start=START, end=END, epochs=40, batch_size=32, min_months=50, n_iterations=2)
+
+
+# --- feature table --------------------------------------------------------------------------
+
+WINDOWS = (18, 24, 36, 60)
+_CLIMATE = {**PRIOR, **{
+    "rolled": "SELECT *, " + ", ".join(
+        f'avg(prior) OVER (w ROWS BETWEEN {n - 1 - (n - 1) // 2} PRECEDING AND {(n - 1) // 2} FOLLOWING) AS "{n}m_rw"' for n in WINDOWS)
+        + " FROM prior WINDOW w AS (PARTITION BY entity_id ORDER BY ts)",
+    "g": _GROUNDWATER,
+    "near": _NEAREST_COARSE.format(pts="npts"),
+}}
+
+
+@query("M4_climate_features", with_("pb", "npts", "cells", "drought", "land", **_CLIMATE) +
+       "SELECT entity_id, ts, " + ", ".join(f'{R(f"{c}", 4)} AS {c}' for c in [f'"{n}m_rw"' for n in WINDOWS] + [f'"{v}"' for v in FEATURE_VARIABLES]
+                                            + ['"sc_PDSI_pm_filled"', '"ln(QSB_acc)"', '"ln(RW 4 Rainf_tavg)"', '"Surface Water"', '"Sum Soil Moist"'])
+       + ", " + ", ".join(f'CAST(month(ts) = {i + 1} AS INTEGER) AS "{m}"' for i, m in enumerate(MONTHS)) +
+       " FROM rolled JOIN near USING (entity_id) JOIN drought USING (cell_id, ts) JOIN land USING (cell_id, ts) JOIN g USING (cell_id, ts) WHERE prior IS NOT NULL")
+def m4(spark, sf):
+    priors = prior.prior_features(middle(spark, sf), FRACTIONS, 0.10, WINDOWS)
+    points = nation_points(spark, sf)
+    d, l = drought_grid(spark, sf), land_grid(spark, sf)
+    cells = coarse_cells(spark, d)
+    drought = grids.nearest_cell_series(points, cells, d, COARSE, ["sc_PDSI_pm_filled"])
+    land = grids.nearest_cell_series(points, cells, feat.groundwater_features(l), COARSE,
+                                     [*FEATURE_VARIABLES, *[f"`{c}`" for c in feat.DERIVED]])
+    rows, scaled, dummies = feat.climate_features(priors, drought, land, ["sc_PDSI_pm_filled"])
+    return rounded(rows.select("entity_id", "ts", *[f"`{c}`" for c in (*scaled, *dummies)]), 4)
+
+
+# --- estimators -----------------------------------------------------------------------------
+
+@query("M5_linear_folds", _CV + f"SELECT entity_id, ts, fold, split, {R('value')} AS value, {R('x', 4)} AS x, {R('yhat', 5)} AS yhat FROM pairs")
+def m5_linear(spark, sf):
+    return rounded(cv_pairs(spark, sf), 6, x=4, yhat=5)
+
+
+def _satellite_rows(spark, sf):
+    d, l = drought_grid(spark, sf), land_grid(spark, sf)
+    cells = coarse_cells(spark, d)
+    return satellite_rows(pb_monthly(spark, sf), nation_points(spark, sf), (d, cells, COARSE), (l, cells, COARSE),
+                          NET, ["sc_PDSI_pm_filled"])
+
+
+def _train_rows(rows, config=NET):
+    labelled = folds.split_rows(folds.expand_folds(rows.filter("value IS NOT NULL"), config.folds),
+                                config.validation_split, config.seed).drop("is_test")
+    rest = (rows.filter("value IS NULL").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(config.folds))))
+            .withColumn("split", F.lit(None).cast("string")))
+    return labelled.unionByName(rest)
+
+
+def _fitted(spark, sf, estimator="mlp"):
+    rows = cut_lineage(_satellite_rows(spark, sf), "rows")
+    fitted = model.fit_folds(_train_rows(rows), NET.epochs, NET.batch_size, NET.seed, estimator, NET.folds)
+    return rows, cut_lineage(fitted, "fits")
+
+
+@query("M5_network_folds")
+def m5_mlp(spark, sf):
+    return model.predictions(_fitted(spark, sf)[1])
+
+
+@query("M5_least_squares_folds")
+def m5_ls(spark, sf):
+    return model.predictions(_fitted(spark, sf, "linear")[1])
+
+
+@query("M6_final_fit")
+def m6(spark, sf):
+    rows, fitted = _fitted(spark, sf)
+    return model.predictions(model.fit_final(rows, model.warm_starts(fitted, NET.folds), seed=NET.seed))
+
+
+@query("M7_fill", with_("pam", lines="""SELECT entity_id, regr_slope(value, x) AS s, regr_intercept(value, x) AS i FROM
+    (SELECT *, CAST(date_diff('day', DATE '1998-01-01', ts) AS DOUBLE) / 365 AS x FROM pam) GROUP BY 1""") +
+       f"""SELECT entity_id, d.ts, {R("coalesce(value, i + s * (CAST(date_diff('day', DATE '1998-01-01', d.ts) AS DOUBLE) / 365))", 4)} AS value, value IS NOT NULL AS is_observed
+       FROM ({dense_sql('pam')}) d JOIN lines USING (entity_id) ORDER BY 1""")
+def m7(spark, sf):
+    panel = pa_monthly(spark, sf)
+    x = (F.datediff("ts", F.lit("1998-01-01").cast("date")) / 365).alias("x")
+    dense = timeline.densify(panel, START, END).select("*", x)
+    fits = folds.linear_fit(dense, "x")
+    pred = folds.linear_predict(dense, fits, "x")
+    return rounded(folds.fill(panel.filter(F.col("ts").between(F.lit(START).cast("date"), F.lit(END).cast("date"))), pred), 4)
+
+
+LINEAR = {"kept": CLEAN["kept"].replace("1.5e0", "3e0"),
+          "b": CLEAN["b"],
+          "good": CLEAN["good"].replace("1995-02-01", START).replace("2001-06-01", END),
+          "qual": CLEAN["qual"]}
+LINEAR = {k: LINEAR[k] for k in ("b", "kept", "good", "qual")}
+
+
+@query("M8_linear_imputation", with_("pd", **LINEAR, **pchip_ctes("qual", 365, 90, prefix="i_"),
+    mid=f"""SELECT e.entity_id, c.ts, i.value FROM (SELECT DISTINCT entity_id FROM i_interp) e CROSS JOIN
+        (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS ts) c
+        LEFT JOIN i_interp i ON i.entity_id = e.entity_id AND i.ts = c.ts""",
+    seg=PRIOR["seg"], **trend_ctes("mid"), **pchip_ctes("mid", prefix="c_"), prior=PRIOR["prior"],
+    rolled="SELECT *, avg(prior) OVER (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS x FROM prior",
+    line="""SELECT entity_id, slope, my - slope * mx AS intercept FROM (SELECT entity_id, coalesce(covar_pop(x, value) / nullif(var_pop(x), 0), 0) AS slope,
+        avg(x) AS mx, avg(value) AS my FROM rolled WHERE x IS NOT NULL AND value IS NOT NULL GROUP BY 1)""") +
+    f"""SELECT entity_id, ts, {R('coalesce(value, intercept + slope * x)', 2)} AS value, {R('intercept + slope * x', 2)} AS yhat, value IS NOT NULL AS is_observed
+    FROM rolled LEFT JOIN line USING (entity_id)""")
+def m8_linear(spark, sf):
+    return rounded(linear_imputation(pd_daily(spark, sf), RunConfig(start=START, end=END, min_months=8)), 2)
+
+
+@query("M8_satellite_imputation")
+def m8(spark, sf):
+    return fit_and_fill(pb_monthly(spark, sf), _satellite_rows(spark, sf), NET)["data"]
+
+
+# --- neighbours -----------------------------------------------------------------------------
+
+@query("M9_neighbour_features", _REL + f"""SELECT target AS entity_id, ts, CAST(rank AS INTEGER) - 1 AS pos, {R('value', 4)} AS neighbour
+    FROM (SELECT *, count(value) OVER (PARTITION BY target, ts) AS have FROM chosen JOIN pbc ON pbc.entity_id = candidate) WHERE have = k""")
+def m9(spark, sf):
+    rows = relate.neighbour_features(chosen_relations(spark, sf), pb_candidates(spark, sf))
+    return rounded(rows.select("entity_id", "ts", F.posexplode("neighbours").alias("pos", "neighbour")), 4)
+
+
+@query("M10_iterative_refinement")
+def m10(spark, sf):
+    data = cut_lineage(pb_candidates(spark, sf), "imputed")
+    return iterative_refinement(pb_monthly(spark, sf), data, nation_points(spark, sf), NET)[-1]["data"]
+
+
+# --- surfaces -------------------------------------------------------------------------------
+
+@query("M11_surface_grid", with_("diamonds", "box", axis="SELECT *, (x_max - x_min) / 97 AS res, CAST(ceil((y_max - y_min) / ((x_max - x_min) / 97)) AS INTEGER) AS n_rows FROM box",
+    g="""SELECT r AS row, c AS col, x_min + c * res AS lon, y_max - r * res AS lat FROM axis, (SELECT CAST(unnest(range(97)) AS INTEGER) AS c),
+        (SELECT CAST(unnest(range(2000)) AS INTEGER) AS r) WHERE r < n_rows""") + f"""SELECT CAST(row AS BIGINT) * 97 + col AS cell_id, row, col, {R('lon')} AS lon, {R('lat')} AS lat FROM g
+    WHERE EXISTS (SELECT 1 FROM diamonds d WHERE abs(g.lon - d.lon) + abs(g.lat - d.lat) < d.radius
+    AND NOT (d.has_hole AND abs(g.lon - d.lon) + abs(g.lat - d.lat) <= 1))""")
+def m11(spark, sf):
+    return rounded(polygon.surface_grid(spark, diamond_edges(spark, sf), 97)[0])
+
+
+def point_cells(spark, sf):
+    """The nations' own positions as cells."""
+    key = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("bigint")
+    return nation_points(spark, sf).select(key.alias("cell_id"), F.lit(0).alias("row"), key.cast("int").alias("col"),
+                                           "lon", "lat")
+
+
+@query("M12_weights_sum_to_one", with_("npts", g=grid_sql(DROUGHT_INDEX)) +
+       "SELECT cell_id, 1e0 AS total, (SELECT count(*) FROM npts) AS n_points FROM g")
+def m12(spark, sf):
+    w = surface.kriging_weights(grids.create_grid(spark, DROUGHT_INDEX), nation_points(spark, sf))
+    return rounded(w.groupBy("cell_id").agg(F.sum("w").alias("total"), F.count("w").alias("n_points")))
+
+
+@query("M12_exact_at_points", with_("pb", "pbc") + f"""SELECT entity_id, ts, {R('value', 4)} AS value FROM pbc WHERE entity_id <> 'NATION_3'""")
+def m12b(spark, sf):
+    # the weights of a point's own position give back its value
+    panel = surface.complete_entities(pb_candidates(spark, sf))
+    points = nation_points(spark, sf).join(panel.select("entity_id").distinct(), "entity_id", "left_semi")
+    cells = point_cells(spark, sf)
+    out = surface.apply_weights(surface.kriging_weights(cells, points), panel)
+    names = F.concat(F.lit("NATION_"), F.col("cell_id").cast("string"))
+    return rounded(out.select(names.alias("entity_id"), "ts", "value").filter("entity_id <> 'NATION_3'"), 4)
+
+
+@query("M13_surfaces", with_("pb") + f"SELECT entity_id, ts, {R('value', 4)} AS value FROM pb")
+def m13(spark, sf):
+    # months differ in the nations they have; at the available points a surface equals the panel
+    panel = pb_monthly(spark, sf)
+    out = surface.surfaces(panel, nation_points(spark, sf), point_cells(spark, sf))
+    names = F.concat(F.lit("NATION_"), F.col("cell_id").cast("string"))
+    out = out.select(names.alias("entity_id"), "ts", "value")
+    return rounded(out.join(panel.select("entity_id", "ts"), ["entity_id", "ts"], "left_semi"), 4)
+
+
+@query("M13_full_surfaces")
+def m13b(spark, sf):
+    cells, _ = polygon.surface_grid(spark, diamond_edges(spark, sf), 100)
+    return surface.surfaces(pb_monthly(spark, sf), nation_points(spark, sf), cells)
+
+
+@query("M14_krige_panel", with_("pb", "pbc") + f"""SELECT entity_id, ts, {R('value', 4)} AS value FROM (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS i FROM pbc)
+    WHERE entity_id <> 'NATION_3' AND i % 3 = 0""")
+def m14(spark, sf):
+    out = surface.krige_panel(pb_candidates(spark, sf), nation_points(spark, sf), point_cells(spark, sf), monthly_step=3)
+    names = F.concat(F.lit("NATION_"), F.col("cell_id").cast("string"))
+    return rounded(out.select(names.alias("entity_id"), "ts", "value").filter("entity_id <> 'NATION_3'"), 4)
+
+
+# --- everything -----------------------------------------------------------------------------
+
+@query("M16_full_run")
+def m16(spark, sf):
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    daily = (o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+             .groupBy("n_name", F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("v")))
+    readings = daily.select(F.date_format("day", "M/d/yyyy").alias("Date"), F.col("n_name").alias("Well ID"),
+                            F.col("v").cast("string").alias("Measurement"))
+    places = nation_points(spark, sf).select(F.col("entity_id").alias("Well ID"), F.col("lon").alias("Longitude"),
+                                             F.col("lat").alias("Latitude"))
+    spec = GridSpec(COARSE.x_min, COARSE.y_min, COARSE.x_max, COARSE.y_max, 30.0, 30.0, ("sc_PDSI_pm_filled",))
+    inputs = Inputs(readings, places, diamond_edges(spark, sf), drought_grid(spark, sf), land_grid(spark, sf), spec, COARSE)
+    config = RunConfig(start=START, end=END, epochs=15, n_iterations=1, n_x_cells=60, min_months=20,
+                       date_filter=("1995-01-01", "1999-01-01"))
+    return run(spark, inputs, new_path(spark, "run"), config)["storage"]

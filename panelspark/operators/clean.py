@@ -9,7 +9,7 @@ per-entity window runs.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.dates import julian_day, slot_ceil, slot_start, slots_between
-from panelspark.functions.hermite import segment_slopes, segment_value
+from panelspark.functions.hermite import add_segment_slopes, segment_value
 from panelspark.operators.skew import attach
 from panelspark.operators.timeline import densify, _date
 
@@ -126,15 +126,14 @@ def interpolate(panel: DataFrame, step="month", gap_days: int | None = None,
     if edges is None:
         edges = slot_edges(panel, step, entity, ts, value)
     seg = _segments(edges, entity, ts, value)
-    d1, d2 = segment_slopes(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")])
     # a slot start that is a knot belongs to the segment it opens; the last knot to its own
     slots = slots_between(F.col(ts), F.col("next_ts"), step)
-    seg = (seg.withColumn("d1", d1).withColumn("d2", d2)
+    seg = (add_segment_slopes(seg)
            .withColumn("_slots", slots).filter(F.col("_slots").isNotNull())
            .select("*", F.explode("_slots").alias("_q")))
     xq = julian_day(F.col("_q"), is_date=True)
     seg = seg.withColumn("_xq", xq).filter((F.col("_xq") < F.col("x2")) | F.col("x3").isNull())
-    v = segment_value(*[F.col(c) for c in ("_xq", "x1", "y1", "d1", "x2", "y2", "d2")])
+    v = segment_value(F.col("_xq"))
     if gap_days is not None:
         q, a, b, prev = (F.col(c) for c in ("_xq", "x1", "x2", "x0"))
         in_gap = (_whole_days(b - a) > gap_days) & (q >= a + pad_days) & (q <= b - pad_days)
@@ -168,12 +167,13 @@ def interpolate_regular(dense: DataFrame, out: str, entity="entity_id", ts="ts",
             .withColumn("_k0", latest(at_knot("_k1"), forward, 0))
             .withColumn("_k2", latest("_k", backward, -1))
             .withColumn("_k3", latest(at_knot("_k2"), backward, 0)))
-    k = [F.col(f"_k{i}.{c}") for i in range(4) for c in "xy"]
-    d1, d2 = segment_slopes(*k)
-    x = julian_day(F.col(ts), dict(dense.dtypes)[ts] == "date")
+    knots = [f"{c}{i}" for i in range(4) for c in "xy"]
     between = F.col("_k").isNull() & F.col("_k1").isNotNull() & F.col("_k2").isNotNull()
-    v = F.when(between, segment_value(x, k[2], k[3], d1, k[4], k[5], d2)).otherwise(F.col(value))
-    return rows.withColumn(out, v).drop("_k", "_k0", "_k1", "_k2", "_k3")
+    rows = add_segment_slopes(rows.withColumns(
+        {k: F.when(between, F.col(f"_k{k[1]}.{k[0]}")) for k in knots}))
+    x = julian_day(F.col(ts), dict(dense.dtypes)[ts] == "date")
+    v = F.when(between, segment_value(x)).otherwise(F.col(value))
+    return rows.withColumn(out, v).drop("_k", "_k0", "_k1", "_k2", "_k3", "d1", "d2", *knots)
 
 
 def mask_outside_range(panel: DataFrame, ranges: DataFrame, entity="entity_id", ts="ts",

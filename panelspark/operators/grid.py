@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from panelspark.config import GridSpec
 from panelspark.functions.geometry import squared_distance
 from panelspark.operators.skew import attach
+from panelspark.session import cut_lineage
 
 MAX_BROADCAST_CELLS = 1_000_000
 
@@ -171,13 +172,13 @@ def nearest_cells(points: DataFrame, cells: DataFrame, spec: GridSpec, k: int =
     of the square can be nearer; the remaining points are retried with twice the square.
     Distances are Euclidean in degrees, ties go to the lower cell number.
     """
-    spark = points.sparkSession
     if ring is None:
         ring = max(1, int(k ** 0.5) // 2 + 1)
     todo, parts = points, []
     reach = max(spec.n_rows, spec.n_cols)
     while True:
-        found = _ring_search(todo, cells, spec, k, key, min(ring, reach))
+        # written once: both the answer and the list of points to retry come from it
+        found = cut_lineage(_ring_search(todo, cells, spec, k, key, min(ring, reach)), "nearest")
         if ring >= reach:
             parts.append(found.filter(F.col("rank") <= k))
             break

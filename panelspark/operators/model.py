@@ -32,7 +32,7 @@ class Mlp:
             self.p = [self._glorot(s) if len(s) == 2 else np.zeros(s) for s in self.shapes]
         else:
             ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
-            self.p = [w.reshape(s) for w, s in zip(np.split(np.asarray(weights, float), ends[:-1]), self.shapes)]
+            self.p = [w.reshape(s).copy() for w, s in zip(np.split(np.asarray(weights, float), ends[:-1]), self.shapes)]
         self.m = [np.zeros(s) for s in self.shapes]
         self.v = [np.zeros(s) for s in self.shapes]
         self.t = 0
@@ -145,12 +145,9 @@ def fit_folds(folded: DataFrame, epochs: int = 700, batch: int = 32, seed: int =
 
 
 def _frame(rows, entity, fold):
-    out = pd.DataFrame(rows, columns=["kind", "ts", "split", "value", "yhat", "epoch", "loss",
-                                      "val_loss", "weights", "status"])
-    out["epoch"] = out["epoch"].astype("Int32")
-    out.insert(0, "fold", fold)
-    out.insert(0, "entity_id", entity)
-    return out
+    names = ("kind", "ts", "split", "value", "yhat", "epoch", "loss", "val_loss", "weights", "status")
+    out = {n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}
+    return pd.DataFrame({"entity_id": [entity] * len(rows), "fold": [fold] * len(rows), **out})
 
 
 def _fit_fold(pdf, entity, fold, epochs, batch, seed, estimator, keep_weights):

@@ -94,7 +94,7 @@ def _pairwise(left: DataFrame, right: DataFrame, n_blocks: int, entity, compare,
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     a = _blocks(left, n_blocks, entity, "_tb", "_cb").groupBy("_tb", "_cb")
     b = _blocks(right, n_blocks, entity, "_cb", "_tb").groupBy("_tb", "_cb")
-    empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+    empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")}, dtype=object)
 
     def run(t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return empty if t.empty or c.empty else compare(t.reset_index(drop=True), c.reset_index(drop=True))

@@ -137,7 +137,7 @@ def evaluate(cells: DataFrame, coef: DataFrame, alpha: float, n_months: int, ts=
             rows[ts] = np.tile(days, len(at)).astype(object)
             out.append(pd.DataFrame({**rows, value: field.ravel()}))
         if not out:
-            return pd.DataFrame({n: [] for n in (*names, ts, value)})
+            return pd.DataFrame({n: [] for n in (*names, ts, value)}, dtype=object)
         return pd.concat(out, ignore_index=True)
 
     schema = f"cell_id bigint, row int, col int, lon double, lat double, {ts} date, {value} double"
@@ -181,7 +181,7 @@ def kriging_weights(cells: DataFrame, points: DataFrame, influence: float = 0.12
 
     def run(c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if c.empty or p.empty:
-            return pd.DataFrame({"cell_id": [], entity: [], "w": []})
+            return pd.DataFrame({"cell_id": [], entity: [], "w": []}, dtype=object)
         xy = p[["lon", "lat"]].to_numpy(float)
         ell = position_range(xy, influence) if scale is None else scale
         inverse = np.linalg.pinv(_bordered(xy, ell, alpha), hermitian=True)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import RunConfig, FEATURE_VARIABLES, GridSpec
 from panelspark.operators import features as feat, folds, model
+from panelspark.operators.clean import clean_panel
 from panelspark.operators.grid import nearest_cell_series
 from panelspark.operators.prior import prior_features
 from panelspark.operators.timeline import between, densify
@@ -83,3 +84,20 @@ def satellite_imputation(panel, points, drought, land, config: RunConfig = RunCo
     done = out["predictions"].select("entity_id").distinct()
     out["locations"] = points.join(done, "entity_id", "left_semi")
     return out
+
+
+def linear_imputation(readings: DataFrame, config: RunConfig, window: int = 24) -> DataFrame:
+    """Readings -> filled monthly panel with a one-feature linear model per entity.
+
+    Clean, extend by the long-term prior, regress the clean values on the prior's rolling mean
+    and fill the gaps: (entity_id, ts, value, yhat, is_observed). The clean panel, a small
+    fraction of the readings, is written once; what follows runs on one partitioning by entity.
+    """
+    panel = cut_lineage(clean_panel(readings, config.start, config.end, config.max_std, config.min_months,
+                                    config.gap_days, config.pad_days), "clean")
+    dense = densify(panel, config.start, config.end)
+    rows = prior_features(dense, config.fractions, config.intercept_fraction, (window,), config.anchor)
+    x = f"{window}m_rw"
+    out = folds.linear_fill(rows, x)
+    return out.select("entity_id", "ts", F.coalesce("value", "yhat").alias("value"), "yhat",
+                      F.col("value").isNotNull().alias("is_observed"))
