@@ -184,9 +184,7 @@ def cv_split(spark, sf):
 
 
 def cv_pairs(spark, sf):
-    rows = cv_split(spark, sf)
-    fits = folds.linear_fit(rows, "x", by=("entity_id", "fold"), only=F.col("split") == "train")
-    return folds.linear_predict(rows, fits, "x", by=("entity_id", "fold"))
+    return folds.linear_fill(cv_split(spark, sf), "x", by=("entity_id", "fold"), only=F.col("split") == "train")
 
 
 @query("A12_fold_metrics", _CV + f"""SELECT entity_id, fold, split, {R('me', 5)} AS me, {R('rmse', 5)} AS rmse, {R('mae', 5)} AS mae, n,
@@ -233,9 +231,7 @@ def a16(spark, sf):
 @query("A17_standard_scaling", _CV + f"""SELECT entity_id, ts, fold, split, {R('value')} AS value, {R('(x - m) / coalesce(nullif(s, 0), 1)', 4)} AS x
     FROM split JOIN (SELECT entity_id, fold, avg(x) AS m, stddev_pop(x) AS s FROM split WHERE split = 'train' GROUP BY 1, 2) USING (entity_id, fold)""")
 def a17(spark, sf):
-    rows = cv_split(spark, sf)
-    scaler = folds.fit_scaler(rows.filter("split = 'train'"), ["x"])
-    return rounded(folds.scale(rows, scaler, ["x"]), 6, x=4)
+    return rounded(folds.standardize(cv_split(spark, sf), ["x"]), 6, x=4)
 
 
 @query("A17_inverse_scaling", _CV + f"SELECT entity_id, ts, fold, split, {R('value')} AS value, {R('x', 4)} AS x FROM split")

@@ -59,17 +59,9 @@ def _satellite_rows(spark, sf):
                           NET, ["sc_PDSI_pm_filled"])
 
 
-def _train_rows(rows, config=NET):
-    labelled = folds.split_rows(folds.expand_folds(rows.filter("value IS NOT NULL"), config.folds),
-                                config.validation_split, config.seed).drop("is_test")
-    rest = (rows.filter("value IS NULL").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(config.folds))))
-            .withColumn("split", F.lit(None).cast("string")))
-    return labelled.unionByName(rest)
-
-
 def _fitted(spark, sf, estimator="mlp"):
     rows = cut_lineage(_satellite_rows(spark, sf), "rows")
-    fitted = model.fit_folds(_train_rows(rows), NET.epochs, NET.batch_size, NET.seed, estimator, NET.folds)
+    fitted = model.fit_folds(folds.training_rows(rows, NET.folds, NET.validation_split, NET.seed), NET.epochs, NET.batch_size, NET.seed, estimator, NET.folds)
     return rows, cut_lineage(fitted, "fits")
 
 

@@ -98,7 +98,8 @@ def slot_edges(panel: DataFrame, step="month", entity="entity_id", ts="ts",
         return (knots.withColumn("_rn", F.row_number().over(w))
                 .filter(F.col("_rn") <= 2).drop("_rn"))
 
-    edges = end(F.col(ts).asc()).unionByName(end(F.col(ts).desc()))
+    # the exchange by entity also serves the deduplication and every window that follows
+    edges = end(F.col(ts).asc()).unionByName(end(F.col(ts).desc())).repartition(entity)
     edges = edges.dropDuplicates([entity, "_slot", ts])
     is_date = dict(panel.dtypes)[ts] == "date"
     return edges.withColumn("x", julian_day(F.col(ts), is_date))

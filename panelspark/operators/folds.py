@@ -5,14 +5,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelspark.functions.stats import determination, error_metrics
 
 
-def assign_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts") -> DataFrame:
-    """Contiguous folds 1..k in time order; the first n % k folds get one row more."""
-    return rows.withColumn("test_fold", F.ntile(k).over(Window.partitionBy(entity).orderBy(ts)))
+def assign_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts", label=None) -> DataFrame:
+    """Contiguous folds 1..k in time order; the first n % k folds get one row more.
+
+    With `label`, rows without it take no part and get no fold.
+    """
+    if label is None:
+        return rows.withColumn("test_fold", F.ntile(k).over(Window.partitionBy(entity).orderBy(ts)))
+    seen = F.col(label).isNotNull()
+    fold = F.ntile(k).over(Window.partitionBy(entity, seen).orderBy(ts))
+    return rows.withColumn("test_fold", F.when(seen, fold))
 
 
-def expand_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts") -> DataFrame:
-    """Every row once per fold, with is_test for the rows of that fold."""
-    return (assign_folds(rows, k, entity, ts)
+def expand_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts", label=None) -> DataFrame:
+    """Every row once per fold, with is_test for the rows of that fold (NULL without label)."""
+    return (assign_folds(rows, k, entity, ts, label)
             .withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
             .withColumn("is_test", F.col("fold") == F.col("test_fold")).drop("test_fold"))
 
@@ -20,19 +27,31 @@ def expand_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts") -> Da
 def split_rows(folded: DataFrame, validation_split: float = 0.3, seed: int = 42,
                entity="entity_id", ts="ts") -> DataFrame:
     """Adds split: 'test', or a seeded choice of ceil(n * validation_split) 'validation' rows
-    of the others, the rest 'train'."""
+    of the others, the rest 'train'; NULL where is_test is."""
     w = Window.partitionBy(entity, "fold", "is_test")
     lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"),
                             F.col("fold").cast("string"), F.col(ts).cast("date").cast("string")))
     rn = F.row_number().over(w.orderBy(lot, ts))
     n = F.count(F.lit(1)).over(w)
     split = (F.when(F.col("is_test"), F.lit("test"))
-             .when(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(float(validation_split))), F.lit("validation"))
-             .otherwise(F.lit("train")))
+             .when(~F.col("is_test"), F.when(
+                 F.col("_rn") <= F.ceil(F.col("_n") * F.lit(float(validation_split))), F.lit("validation"))
+                 .otherwise(F.lit("train"))))
     return (folded.withColumn("_rn", rn).withColumn("_n", n)
             .withColumn("split", split).drop("_rn", "_n"))
 
 
+def training_rows(rows: DataFrame, k: int = 5, validation_split: float = 0.3, seed: int = 42,
+                  entity="entity_id", ts="ts", label="value") -> DataFrame:
+    """Every row once per fold with its split; rows without label have none.
+
+    One exchange by entity serves the folds, the splits and the grouped fit that follows; rows
+    are repeated per fold only after it.
+    """
+    folded = expand_folds(rows.repartition(entity), k, entity, ts, label)
+    return split_rows(folded, validation_split, seed, entity, ts).drop("is_test")
+
+
 def fit_scaler(train: DataFrame, columns, by=("entity_id", "fold")) -> DataFrame:
     """Mean and population standard deviation of each column; a zero deviation becomes 1."""
     aggs = []
@@ -135,13 +154,16 @@ def linear_predict(rows: DataFrame, fits: DataFrame, x: str, by=("entity_id",))
             .drop("slope", "intercept"))
 
 
-def linear_fill(rows: DataFrame, x: str, y="value", by=("entity_id",)) -> DataFrame:
+def linear_fill(rows: DataFrame, x: str, y="value", by=("entity_id",), only=None) -> DataFrame:
     """Adds yhat of each group's own least-squares line, in one window pass.
 
-    For groups bounded by the calendar; nothing is joined or computed twice.
+    For groups bounded by the calendar; nothing is joined or computed twice. `only` restricts
+    the rows that are fitted.
     """
     w = Window.partitionBy(*by)
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    if only is not None:
+        ok = ok & only
     a, b = F.when(ok, F.col(x)), F.when(ok, F.col(y))
     slope = F.coalesce(F.covar_pop(a, b).over(w) / F.nullif(F.var_pop(a).over(w), F.lit(0.0)), F.lit(0.0))
     return (rows.withColumn("_s", slope)

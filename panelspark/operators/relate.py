@@ -38,7 +38,7 @@ def comparison_rows(targets: DataFrame, candidates: DataFrame, entity="entity_id
     own = have.withColumn("_own", F.lit(1))
     others = F.col("_n") - F.coalesce("_own", F.lit(0))
     member = have.select(entity).distinct().withColumn("_member", F.lit(1))
-    return (seen.join(per_slot, ts).join(own, [entity, ts], "left").join(member, entity, "left")
+    return (seen.join(F.broadcast(per_slot), ts).join(own, [entity, ts], "left").join(member, entity, "left")
             .filter(others == n_all - F.coalesce("_member", F.lit(0)))
             .select(entity, ts, value))
 

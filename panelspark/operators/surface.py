@@ -76,8 +76,8 @@ def site_series(panel: DataFrame, points: DataFrame, entity="entity_id", ts="ts"
     months = seen.groupBy(ts).agg(pattern.alias("_p"))
     turn = F.row_number().over(Window.partitionBy("_p").orderBy(ts)) - 1
     part = F.concat_ws("#", "_p", F.floor(turn / months_per_part).cast("string"))
-    months = months.select(ts, part.alias("part"))
-    sites = (seen.join(months, ts).join(points.select(entity, "lon", "lat"), entity)
+    months = months.select(ts, part.alias("part"))  # at most one row per calendar slot
+    sites = (seen.join(F.broadcast(months), ts).join(points.select(entity, "lon", "lat"), entity)
              .groupBy("part", "lon", "lat", ts).agg(F.avg(value).alias("v")))
     series = F.sort_array(F.collect_list(F.struct(F.unix_date(F.col(ts).cast("date")).alias("day"), "v")))
     return (sites.groupBy("part", "lon", "lat").agg(series.alias("_s"))

@@ -28,14 +28,9 @@ def fit_and_fill(panel: DataFrame, rows: DataFrame, config: RunConfig) -> dict[s
     re-read, since several results are taken from each of them.
     """
     rows = cut_lineage(rows, "model-rows")
-    labelled = rows.filter(F.col("value").isNotNull())
-    train = folds.split_rows(folds.expand_folds(labelled, config.folds),
-                             config.validation_split, config.seed).drop("is_test")
-    rest = (rows.filter(F.col("value").isNull())
-            .withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(config.folds))))
-            .withColumn("split", F.lit(None).cast("string")))
-    fitted = cut_lineage(model.fit_folds(train.unionByName(rest), config.epochs, config.batch_size,
-                                         config.seed, config.estimator, config.folds), "fold-fits")
+    train = folds.training_rows(rows, config.folds, config.validation_split, config.seed)
+    fitted = cut_lineage(model.fit_folds(train, config.epochs, config.batch_size, config.seed,
+                                         config.estimator, config.folds), "fold-fits")
     warm = model.warm_starts(fitted, config.folds)
     final = cut_lineage(model.fit_final(rows, warm, FINAL_BATCH, config.seed, config.estimator),
                         "final-fits")
@@ -50,7 +45,7 @@ def fit_and_fill(panel: DataFrame, rows: DataFrame, config: RunConfig) -> dict[s
         "data": data,
         "predictions": between(predicted.select("entity_id", "ts", "yhat"), config.start, config.end),
         "runs": runs.select("entity_id", "ts", "fold", "yhat"),
-        "splits": train.select("entity_id", "ts", "fold", "split", "value"),
+        "splits": runs.filter("split IS NOT NULL AND fold > 0").select("entity_id", "ts", "fold", "split", "value"),
         "fold_metrics": metrics,
         "metrics": folds.wide_metrics(folds.mean_metrics(metrics, config.folds), comp),
         "spread": folds.ensemble_spread(runs),
