@@ -147,7 +147,9 @@ def fit_folds(folded: DataFrame, epochs: int = 700, batch: int = 32, seed: int =
 def _frame(rows, entity, fold):
     names = ("kind", "ts", "split", "value", "yhat", "epoch", "loss", "val_loss", "weights", "status")
     out = {n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}
-    return pd.DataFrame({"entity_id": [entity] * len(rows), "fold": [fold] * len(rows), **out})
+    keys = {"entity_id": pd.Series([entity] * len(rows), dtype=object),
+            "fold": pd.Series([fold] * len(rows), dtype=object)}
+    return pd.DataFrame({**keys, **out})
 
 
 def _fit_fold(pdf, entity, fold, epochs, batch, seed, estimator, keep_weights):
@@ -191,7 +193,7 @@ def fit_final(rows: DataFrame, warm: DataFrame, batch: int = 32, seed: int = 42,
     """
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return _frame([], "", -1).iloc[:0]
+            return _frame([], "", -1)
         entity = left["entity_id"].iloc[0]
         try:
             return _fit_final(left.sort_values("ts"), right.iloc[0], entity, batch, seed, estimator)
