@@ -55,9 +55,9 @@ def p5(spark, sf):
     CROSS JOIN ({calendar_sql()}) c""")
 def p6(spark, sf):
     panel = pd_daily(spark, sf)
-    level = panel.groupBy("entity_id").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    flat = timeline.densify(panel.select("entity_id", "ts", F.lit(None).cast("double").alias("value")), START, END)
-    flat = flat.drop("value").join(level, "entity_id")
+    level = panel.groupBy("entity_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.trunc(F.min("ts"), "MM").alias("ts"))
+    flat = timeline.densify(level.withColumn("value", F.col("n")), START, END)
+    flat = flat.drop("value").join(level.select("entity_id", F.col("n").alias("value")), "entity_id")
     return clean.mask_outside_range(flat, clean.observed_range(panel)).select("entity_id", "ts", "value")
 
 

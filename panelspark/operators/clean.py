@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.dates import julian_day, slot_ceil, slot_start, slots_between
 from panelspark.functions.hermite import add_segment_slopes, segment_value
-from panelspark.operators.skew import attach
+from panelspark.operators.skew import attach, spread
 from panelspark.operators.timeline import densify, _date
 
 
@@ -99,7 +99,7 @@ def slot_edges(panel: DataFrame, step="month", entity="entity_id", ts="ts",
                 .filter(F.col("_rn") <= 2).drop("_rn"))
 
     # the exchange by entity also serves the deduplication and every window that follows
-    edges = end(F.col(ts).asc()).unionByName(end(F.col(ts).desc())).repartition(entity)
+    edges = spread(end(F.col(ts).asc()).unionByName(end(F.col(ts).desc())), entity)
     edges = edges.dropDuplicates([entity, "_slot", ts])
     is_date = dict(panel.dtypes)[ts] == "date"
     return edges.withColumn("x", julian_day(F.col(ts), is_date))
@@ -152,29 +152,27 @@ def interpolate_regular(dense: DataFrame, out: str, entity="entity_id", ts="ts",
     Every row looks up its two knots on either side with windows over one partitioning, so
     nothing is exploded or joined. Rows outside the observed range stay NULL.
     """
-    knot = F.when(F.col(value).isNotNull(), F.struct(
-        julian_day(F.col(ts), dict(dense.dtypes)[ts] == "date").alias("x"), F.col(value).alias("y")))
+    is_knot = F.col(value).isNotNull()
+    x = julian_day(F.col(ts), dict(dense.dtypes)[ts] == "date")
     forward = Window.partitionBy(entity).orderBy(F.col(ts).asc())
     backward = Window.partitionBy(entity).orderBy(F.col(ts).desc())
 
     def latest(c, w, to):
         return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, to))
 
-    def at_knot(c):
-        return F.when(F.col("_k").isNotNull(), F.col(c))
+    def neighbours(rows, w, near, far):
+        """Columns x/y of the nearest and second nearest knot before each row of `w`."""
+        rows = rows.withColumns({f"x{near}": latest("_x", w, -1), f"y{near}": latest(F.col(value), w, -1)})
+        return rows.withColumns({f"{c}{far}": latest(F.when(is_knot, F.col(f"{c}{near}")), w, 0) for c in "xy"})
 
-    rows = (dense.withColumn("_k", knot)
-            .withColumn("_k1", latest("_k", forward, -1))
-            .withColumn("_k0", latest(at_knot("_k1"), forward, 0))
-            .withColumn("_k2", latest("_k", backward, -1))
-            .withColumn("_k3", latest(at_knot("_k2"), backward, 0)))
+    rows = dense.withColumn("_x", F.when(is_knot, x))
+    rows = neighbours(rows, forward, 1, 0)
+    rows = neighbours(rows, backward, 2, 3)
     knots = [f"{c}{i}" for i in range(4) for c in "xy"]
-    between = F.col("_k").isNull() & F.col("_k1").isNotNull() & F.col("_k2").isNotNull()
-    rows = add_segment_slopes(rows.withColumns(
-        {k: F.when(between, F.col(f"_k{k[1]}.{k[0]}")) for k in knots}))
-    x = julian_day(F.col(ts), dict(dense.dtypes)[ts] == "date")
+    between = ~is_knot & F.col("x1").isNotNull() & F.col("x2").isNotNull()
+    rows = add_segment_slopes(rows.withColumns({k: F.when(between, F.col(k)) for k in knots}))
     v = F.when(between, segment_value(x)).otherwise(F.col(value))
-    return rows.withColumn(out, v).drop("_k", "_k0", "_k1", "_k2", "_k3", "d1", "d2", *knots)
+    return rows.withColumn(out, v).drop("_x", "d1", "d2", *knots)
 
 
 def mask_outside_range(panel: DataFrame, ranges: DataFrame, entity="entity_id", ts="ts",

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.stats import determination, error_metrics
+from panelspark.operators.skew import spread
 
 
 def assign_folds(rows: DataFrame, k: int = 5, entity="entity_id", ts="ts", label=None) -> DataFrame:
@@ -48,7 +49,7 @@ def training_rows(rows: DataFrame, k: int = 5, validation_split: float = 0.3, se
     One exchange by entity serves the folds, the splits and the grouped fit that follows; rows
     are repeated per fold only after it.
     """
-    folded = expand_folds(rows.repartition(entity), k, entity, ts, label)
+    folded = expand_folds(spread(rows, entity), k, entity, ts, label)
     return split_rows(folded, validation_split, seed, entity, ts).drop("is_test")
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.operators.skew import spread
 from panelspark.operators.surface import covariance
 from panelspark.session import cut_lineage, new_path
 
@@ -49,7 +50,7 @@ def _times_covariance(state: DataFrame, n_blocks: int, alpha: float) -> DataFram
         k = covariance(t[["lon", "lat"]].to_numpy(float), s[["x", "y"]].to_numpy(float), t["scale"].iloc[0], alpha)
         return pd.DataFrame({"part": t["part"], "tb": t["tb"], "site": t["site"], "q": list(k @ np.stack(s["p"].to_list()))})
 
-    partial = (left.groupBy("part", "tb", "sb").cogroup(right.groupBy("part", "tb", "sb"))
+    partial = (spread(left, "part", "tb", "sb").groupBy("part", "tb", "sb").cogroup(right.groupBy("part", "tb", "sb"))
                .applyInPandas(run, "part string, tb int, site bigint, q array<double>"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:

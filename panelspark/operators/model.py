@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.operators.skew import spread
+
 # The network and its training.
 HIDDEN = (64, 128)
 L2 = 0.1
@@ -200,7 +202,7 @@ def fit_final(rows: DataFrame, warm: DataFrame, batch: int = 32, seed: int = 42,
         except Exception as e:
             return _frame([dict(kind="status", status=f"failed: {type(e).__name__}: {e}")], entity, -1)
 
-    return (rows.groupBy("entity_id").cogroup(warm.groupBy("entity_id"))
+    return (spread(rows, "entity_id").groupBy("entity_id").cogroup(warm.groupBy("entity_id"))
             .applyInPandas(run, OUT_SCHEMA))
 
 

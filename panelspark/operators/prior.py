@@ -4,16 +4,24 @@ A regular panel has at most one value per entity and calendar slot, so everythin
 is bounded by the calendar's length and ordinary per-entity windows are safe here.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.dates import julian_day
 from panelspark.operators.clean import interpolate_regular
+from panelspark.operators.skew import spread
 
 DIRECT_PAIRS = 2_000_000
 
 
+@lru_cache(maxsize=256)
+def _pairs(n: int):
+    return np.triu_indices(n, 1)
+
+
 def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
     """Exact median of (y_j - y_i) / (x_j - x_i) over all i < j, for increasing x.
 
@@ -27,7 +35,7 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
     def slopes(i):
         return (y[i + 1:] - y[i]) / (x[i + 1:] - x[i])
     if pairs <= DIRECT_PAIRS:
-        i, j = np.triu_indices(n, 1)
+        i, j = _pairs(n) if n <= 256 else np.triu_indices(n, 1)
         return float(np.median((y[j] - y[i]) / (x[j] - x[i])))
     lo = min(slopes(i).min() for i in range(n - 1))
     hi = max(slopes(i).max() for i in range(n - 1))
@@ -61,7 +69,7 @@ def entity_arrays(panel: DataFrame, entity="entity_id", ts="ts", value="value")
     is_date = dict(panel.dtypes)[ts] == "date"
     knots = panel.filter(F.col(value).isNotNull()).select(
         entity, F.struct(julian_day(F.col(ts), is_date).alias("x"), F.col(value).alias("y")).alias("_k"))
-    return (knots.groupBy(entity).agg(F.sort_array(F.collect_list("_k")).alias("_k"))
+    return (spread(knots, entity).groupBy(entity).agg(F.sort_array(F.collect_list("_k")).alias("_k"))
             .select(entity, F.col("_k.x").alias("xs"), F.col("_k.y").alias("ys")))
 
 
@@ -128,9 +136,11 @@ def trend_slopes(panel: DataFrame, fractions, intercept_fraction: float, entity=
             if min(size) < 2 or k < 1:
                 rows.append((None,) * 4)
                 continue
-            rows.append((np.mean([median_slope(x[:m], y[:m]) for m in size]),
-                         np.mean([median_slope(x[len(x) - m:], y[len(x) - m:]) for m in size]),
-                         y[:k].mean(), y[len(x) - k:].mean()))
+            left = [median_slope(x[:m], y[:m]) for m in size]
+            # the whole series is the same from both ends
+            right = [s if m == len(x) else median_slope(x[len(x) - m:], y[len(x) - m:])
+                     for m, s in zip(size, left)]
+            rows.append((np.mean(left), np.mean(right), y[:k].mean(), y[len(x) - k:].mean()))
         return pd.DataFrame(rows, columns=["left_slope", "right_slope", "left_intercept",
                                            "right_intercept"], dtype="float64")
 

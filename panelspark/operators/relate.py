@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.operators.skew import attach
+from panelspark.operators.skew import attach, spread
 
 BLOCK = 256
 
@@ -92,7 +92,7 @@ def _blocks(df: DataFrame, n_blocks: int, entity, own: str, other: str) -> DataF
 def _pairwise(left: DataFrame, right: DataFrame, n_blocks: int, entity, compare, schema) -> DataFrame:
     # fresh column ids: both sides may come from the same table
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    a = _blocks(left, n_blocks, entity, "_tb", "_cb").groupBy("_tb", "_cb")
+    a = spread(_blocks(left, n_blocks, entity, "_tb", "_cb"), "_tb", "_cb").groupBy("_tb", "_cb")
     b = _blocks(right, n_blocks, entity, "_cb", "_tb").groupBy("_tb", "_cb")
     empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")}, dtype=object)
 

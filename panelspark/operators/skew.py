@@ -31,6 +31,16 @@ def attach(rows: DataFrame, per_key: DataFrame, key: str, spread: str, n: str =
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning by `keys` into all shuffle partitions, never merged by size.
+
+    For rows that grow or cost much per byte afterwards (explodes, grouped fits, matrix
+    products): adaptive execution would merge their partitions by the size they have before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """`df` with a broadcast hint when it has at most `max_rows` rows, else `df` itself.
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.operators.skew import spread
 from panelspark.operators.timeline import every_kth_time
 
 DENSE_POINTS = 4000   # largest system solved inside one task; larger ones: kriging_blocks
@@ -107,7 +108,7 @@ def dual_coefficients(sites: DataFrame, influence: float, alpha: float) -> DataF
                              "lat": [*xy[:, 1], None], "scale": scale,
                              "days": [pdf["days"].iloc[0]] * len(beta), "beta": list(beta)})
 
-    return sites.groupBy("part").applyInPandas(run, COEF_SCHEMA)
+    return spread(sites, "part").groupBy("part").applyInPandas(run, COEF_SCHEMA)
 
 
 def evaluate(cells: DataFrame, coef: DataFrame, alpha: float, n_months: int, ts="ts",
@@ -141,7 +142,7 @@ def evaluate(cells: DataFrame, coef: DataFrame, alpha: float, n_months: int, ts=
         return pd.concat(out, ignore_index=True)
 
     schema = f"cell_id bigint, row int, col int, lon double, lat double, {ts} date, {value} double"
-    return (left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket"))
+    return (spread(left, "block", "bucket").groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket"))
             .applyInPandas(run, schema))
 
 
@@ -191,7 +192,7 @@ def kriging_weights(cells: DataFrame, points: DataFrame, influence: float = 0.12
         return pd.DataFrame({"cell_id": np.repeat(c["cell_id"].to_numpy(), len(xy)),
                              entity: np.tile(p[entity].to_numpy(), len(c)), "w": w.ravel()})
 
-    return (cells.groupBy("block").cogroup(right.groupBy("block"))
+    return (spread(cells, "block").groupBy("block").cogroup(right.groupBy("block"))
             .applyInPandas(run, f"cell_id bigint, {entity} string, w double"))
 
 

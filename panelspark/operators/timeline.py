@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelspark.functions.dates import slots_between
+from panelspark.functions.dates import slot_start, slots_between
+from panelspark.operators.skew import spread
 
 
 def _date(v) -> Column:
@@ -41,10 +42,16 @@ def every_kth_time(df: DataFrame, k: int, ts: str = "ts") -> DataFrame:
 
 def densify(panel: DataFrame, start, end, step: str = "month", entity: str = "entity_id",
             ts: str = "ts", value: str = "value") -> DataFrame:
-    """Every entity on every slot of [start, end]; missing slots get NULL.
+    """Every entity of a regular panel on every slot of [start, end]; missing slots get NULL.
 
-    The calendar is a literal array per entity, so no calendar table is joined in.
+    An entity's values travel as one map, at most a calendar's length, and are looked up while
+    the calendar is exploded. So one exchange by entity does it, and per-entity windows that
+    follow need no other.
     """
-    slots = (panel.select(entity).distinct()
-             .select(entity, F.explode(slots_between(_date(start), _date(end), step)).alias(ts)))
-    return slots.join(panel.select(entity, ts, value), [entity, ts], "left")
+    day = F.col(ts).cast("date")
+    on_slot = (F.col(ts) == slot_start(F.col(ts), step)) & day.between(_date(start), _date(end))
+    known = F.collect_list(F.when(on_slot & F.col(value).isNotNull(), F.struct(day, F.col(value))))
+    packed = (spread(panel.select(entity, ts, value), entity)
+              .groupBy(entity).agg(F.map_from_entries(known).alias("_known")))
+    slots = packed.select(entity, "_known", F.explode(slots_between(_date(start), _date(end), step)).alias(ts))
+    return slots.select(entity, ts, F.col("_known")[F.col(ts)].alias(value))
