@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from catalog.common import (COARSE, CTE, END, JD, R, START, customer_points, dense_sql, nation_points, pa_daily, pa_monthly,
+from catalog.common import (END, JD, R, START, dense_sql, nation_points, pa_daily, pa_monthly,
                             pb_monthly, pd_daily, query, raster, rounded, supplier_points, table, with_)
 from catalog.joins import _SPARSE_GRID, _sparse_grid, pb_candidates
 from catalog.projections import _AREA, _CURVE

@@ -1,10 +1,10 @@
 from pyspark.sql import functions as F
 
-from catalog.common import (COARSE, CTE, END, R, START, calendar_sql, customer_points, dense_sql, diamond_edges,
-                            drought_grid, grid_sql, land_grid, nation_points, pa_daily, pa_monthly, pb_monthly, pc_events,
+from catalog.common import (COARSE, CTE, END, R, START, customer_points, dense_sql, diamond_edges,
+                            drought_grid, grid_sql, land_grid, nation_points, pa_daily, pa_monthly, pb_monthly,
                             pchip_ctes, pd_daily, query, rounded, table, with_)
 from catalog.projections import _snap_sql
-from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES
+from panelspark.config import DROUGHT_INDEX
 from panelspark.operators import clean, features as feat, grid as grids, polygon, relate, report, timeline
 
 _EXTRA = {

@@ -1,14 +1,14 @@
 from pyspark.sql import functions as F
 
-from catalog.aggregates import FRACTIONS, RELATION, _CV, _REL, chosen_relations, cv_pairs, trend_ctes
-from catalog.common import (COARSE, CTE, END, JD, R, START, dense_sql, diamond_edges, drought_grid, grid_sql, land_grid,
+from catalog.aggregates import FRACTIONS, _CV, _REL, chosen_relations, cv_pairs, trend_ctes
+from catalog.common import (COARSE, END, R, START, dense_sql, diamond_edges, drought_grid, grid_sql, land_grid,
                             nation_points, pa_monthly, pb_monthly, pchip_ctes, pd_daily, query, rounded, table, with_)
 from catalog.joins import _NEAREST_COARSE, coarse_cells, pb_candidates
 from catalog.projections import _GROUNDWATER
 from catalog.windows import CLEAN, PRIOR, middle
 from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES, MONTHS, GridSpec, RunConfig
 from panelspark.operators import features as feat, folds, grid as grids, model, polygon, prior, relate, surface, timeline
-from panelspark.plans.imputation import fit_and_fill, linear_imputation, satellite_imputation, satellite_rows
+from panelspark.plans.imputation import fit_and_fill, linear_imputation, satellite_rows
 from panelspark.plans.refinement import iterative_refinement
 from panelspark.plans.run import Inputs, run
 from panelspark.session import cut_lineage, new_path

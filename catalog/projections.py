@@ -1,12 +1,12 @@
 from pyspark.sql import functions as F
 
-from catalog.common import (COARSE, CTE, END, JD, R, START, calendar_sql, customer_points, diamond_edges, grid_sql,
+from catalog.common import (END, JD, R, START, calendar_sql, customer_points, diamond_edges, grid_sql,
                             land_grid, pa_monthly, pb_monthly, pc_events, pchip_ctes, pd_daily, query, raster,
                             rounded, table, with_)
 from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES, LAND_SURFACE, MONTHS, RunConfig, SURFACE_WATER_VARIABLES
 from panelspark.functions.dates import cf_date, cf_days, julian_day, month_from_name
 from panelspark.functions.geometry import strip_area
-from panelspark.operators import clean, features as feat, folds, grid as grids, polygon, prior, storage, timeline
+from panelspark.operators import clean, features as feat, grid as grids, polygon, prior, storage, timeline
 from panelspark.sources import tables
 
 _SPAN = "(SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders)"

@@ -4,7 +4,6 @@ from catalog.common import (R, customer_points, pd_daily, query, raster, rounded
 from panelspark.config import DROUGHT_INDEX, RunConfig
 from panelspark.functions.dates import month_from_name
 from panelspark.operators import grid as grids
-from panelspark.operators.storage import storage_curve
 from panelspark.plans.run import Inputs, clean_stage
 from panelspark.session import new_path
 from panelspark.sources import cubes, raster as rasters, tables

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from catalog.aggregates import CV, cv_split, FRACTIONS, _CV
+from catalog.aggregates import cv_split, FRACTIONS, _CV
 from catalog.common import (END, JD, R, START, calendar_sql, dense_sql, land_grid, pa_monthly, pb_monthly, pchip_ctes, pd_daily,
                             query, rounded, with_)
 from panelspark.operators import clean, features as feat, folds, prior, timeline

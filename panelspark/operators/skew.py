@@ -39,12 +39,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """`df` with a broadcast hint when it has at most `max_rows` rows, else `df` itself.
-
-    The check reads at most `max_rows` + 1 rows; beyond it the join stays a shuffle join.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
