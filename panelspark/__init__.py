@@ -11,7 +11,7 @@ Missing values are NULL, never NaN.
 """
 
 from panelspark.config import GridSpec, RunConfig, LAND_SURFACE, DROUGHT_INDEX
-from panelspark.session import get_spark, scratch_dir, cut_lineage
+from panelspark.session import get_spark, scratch_dir, cut_lineage, ship
 
 __all__ = ["GridSpec", "RunConfig", "LAND_SURFACE", "DROUGHT_INDEX",
-           "get_spark", "scratch_dir", "cut_lineage"]
+           "get_spark", "scratch_dir", "cut_lineage", "ship"]

@@ -3,10 +3,12 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def get_spark(app: str = "panelspark", master: str | None = None, **conf) -> SparkSession:
@@ -58,3 +60,25 @@ def cut_lineage(df: DataFrame, name: str = "stage", path: str | None = None) ->
     path = path or new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession, *sources: str) -> None:
+    """Send Python packages (folders) to all workers, this library by default, once for each application.
+
+    Functions that run in workers import their modules there; without this, only workers started beside the
+    library or with it on their path could.
+    """
+    sc = spark.sparkContext
+    for source in sources or (os.path.dirname(os.path.abspath(__file__)),):
+        if (sc.applicationId, source) in _SHIPPED:
+            continue
+        name, parent = os.path.basename(source), os.path.dirname(source)
+        path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(source):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, parent))
+        sc.addPyFile(path)
+        _SHIPPED.add((sc.applicationId, source))
