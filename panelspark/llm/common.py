@@ -120,5 +120,7 @@ def heavy_hitters(df: DataFrame, column: str, k: int = 256, tracked: int = 1024,
     """
     some = (df.groupBy((F.spark_partition_id() % fan_in).alias("part"))
             .agg(F.expr(f"approx_top_k_accumulate(`{column}`, {tracked})").alias("sketch")))
-    return (some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top"))
+    # grouped by a constant: the sketch functions can't merge the empty state of a partition without rows
+    return (some.groupBy(F.lit(0).alias("one"))
+            .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top"))
             .select(F.explode("top.item").alias(column)))
