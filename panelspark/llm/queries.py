@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact_dedup, url_filter
+from panelspark.llm import decontaminate, exact_dedup, language_id, toxicity, url_filter
+from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
 
@@ -85,3 +86,36 @@ def op9(spark, sf):
                                list_log(spark, sf))
     return (pages.join(said.withColumnRenamed("capture_id", "page_id"), "page_id")
             .select("page_id", "url", "fetched_s", "verdict", "kind", "pattern"))
+
+
+@query("op2_decontaminate", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, w[i:i + k - 1] AS g
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(13, len(w)) AS k FROM b WHERE len(w) > 0))),
+pos AS (SELECT doc_id, k, i, w[i:i + k - 1] AS g
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM win))),
+hit AS (SELECT doc_id, k, i, item_id FROM pos JOIN win USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
+def op2(spark, sf):
+    return decontaminate.report(decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query("op1_language_id")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    fold = held_out(F.col("doc_id"))
+    return language_id.identify(docs, language_id.train(docs.filter(~fold)), fold)
+
+
+@query("op7_toxicity")
+def op7(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels), held_out(F.col("doc_id")))
