@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, exact_dedup, language_id, toxicity, url_filter
+from panelspark.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -17,6 +17,12 @@ def query(name, sql=None):
     return add
 
 
+def vocabulary() -> str:
+    """Where the installed ranks of a public tokenizer lie."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -119,3 +125,14 @@ def op1(spark, sf):
 def op7(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels), held_out(F.col("doc_id")))
+
+
+@query("op8_quality")
+def op8(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return quality.score(docs, quality.train(docs, labels), held_out(F.col("doc_id")))
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf):
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf, "documents"), vocabulary()))
