@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, toxicity, url_filter
+from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, quality, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -136,3 +136,8 @@ def op8(spark, sf):
 @query("op3_byte_bpe")
 def op3(spark, sf):
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf, "documents"), vocabulary()))
+
+
+@query("op10_html_extract")
+def op10(spark, sf):
+    return html_extract.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
