@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, quality, toxicity, url_filter
+from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, ngram_join, quality, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -141,3 +141,8 @@ def op3(spark, sf):
 @query("op10_html_extract")
 def op10(spark, sf):
     return html_extract.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_ngram_join")
+def op6(spark, sf):
+    return ngram_join.link(table(spark, sf, "documents"))
