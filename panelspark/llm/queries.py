@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, ngram_join, quality, toxicity, url_filter
+from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -146,3 +146,9 @@ def op10(spark, sf):
 @query("op6_ngram_join")
 def op6(spark, sf):
     return ngram_join.link(table(spark, sf, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark, sf):
+    return (suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
