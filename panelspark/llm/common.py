@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch: a batch of whole texts has to fit into a Python worker.
@@ -25,11 +26,27 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal small inputs out to all cores; larger ones already have a partition for each file split."""
+    """Deal small scans out to all cores; larger ones already have a partition for each file split."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Join" in plan or "Aggregate" in plan or "Exchange" in plan or "Window" in plan:
+        return df  # counting its partitions would run its shuffles
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def flagged(docs: DataFrame, text_col: str, flags) -> DataFrame:
+    """All columns of `docs`, as struct `row`, with the int `flag` that `flags(raw, offsets)` gives each text. No shuffle."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in steps(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.asarray(flags(raw, offsets), np.int32))], ["row", "flag"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("flag", T.IntegerType())])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return spread(rows).mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id as text is divisible by `folds`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bound_batches, spread, steps
+from panelspark.llm.common import bound_batches, flagged, spread, steps
 from panelspark.session import cut_lineage
 
 WINDOW = 13
@@ -151,7 +151,7 @@ FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scanner(shared, id_type: pa.DataType, clean: bool, last: bool):
+def _scanner(shared, clean: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch, raw, offsets in steps(batches, "text"):
@@ -179,6 +179,17 @@ def _scanner(shared, id_type: pa.DataType, clean: bool, last: bool):
     return run
 
 
+def shards(items: DataFrame, item_id: str, item_text: str, window: int, shard_bytes: int) -> Iterator[Automaton]:
+    """Automata of some `shard_bytes` of item text each; at least one."""
+    test = items.select(F.col(f"`{item_id}`").cast("string").alias("name"),
+                        F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("data")).filter("data IS NOT NULL")
+    total = test.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    n = max(1, -(-total // shard_bytes))
+    for k in range(n):
+        rows = test.filter(F.pmod(F.xxhash64("data"), F.lit(n)) == k).distinct().collect()
+        yield Automaton([(r.name, bytes(r.data)) for r in rows], window)
+
+
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, clean: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of word numbers), items (sorted names), cleaned: one row for each row of `docs`.
@@ -189,20 +200,16 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    test = items.select(F.col(f"`{item_id}`").cast("string").alias("name"),
-                        F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("data")).filter("data IS NOT NULL")
-    total = test.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    n_shards = max(1, -(-total // shard_bytes))
-    id_type = docs.schema[id_col].dataType
+    id_type = docs.schema[id_col].dataType.simpleString()
     df = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                             F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("spans"),
                             F.expr("CAST(array() AS array<string>)").alias("items")))
-    for k in range(n_shards):
-        rows = test.filter(F.pmod(F.xxhash64("data"), F.lit(n_shards)) == k).distinct().collect()
-        shared = spark.sparkContext.broadcast(Automaton([(r.name, bytes(r.data)) for r in rows], window))
-        last = k == n_shards - 1
-        df = df.mapInArrow(_scanner(shared, id_type, clean, last),
-                           f"doc_id {id_type.simpleString()}, {FOUND}" + ("" if last else ", text string"))
+    tests = shards(items, item_id, item_text, window, shard_bytes)
+    automaton = next(tests)
+    while automaton:
+        shared, automaton = spark.sparkContext.broadcast(automaton), next(tests, None)
+        last = automaton is None
+        df = df.mapInArrow(_scanner(shared, clean, last), f"doc_id {id_type}, {FOUND}" + ("" if last else ", text string"))
         if not last:
             df = cut_lineage(df, "scanned")
     return df
@@ -216,12 +223,22 @@ def report(found: DataFrame, one_in: int = 20) -> DataFrame:
         ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, one_in: int = 20, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, with their columns; ids name documents, and a null id is one."""
-    bad = (report(scan(docs, items, id_col, **how), one_in).filter("contaminated")
-           .select(F.col("doc_id").alias("__bad")).distinct())
-    bad = cut_lineage(bad, "contaminated")
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, one_in: int = 20, text_col: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of `docs` that aren't contaminated, with their columns: hit words are fewer than one in `one_in`."""
+    tests = [docs.sparkSession.sparkContext.broadcast(a) for a in shards(items, item_id, item_text, window, shard_bytes)]
+
+    def hit(raw, offsets):
+        flat, at, out = raw.tobytes().translate(WORD_BYTES), offsets.tolist(), []
+        for lo, hi in zip(at[:-1], at[1:]):
+            words, spans = flat[lo:hi].split(), []
+            for test in tests:
+                test.value.scan(words, spans, set())
+            n = sum(b - a for a, b in merged(spans))
+            out.append(n > 0 and one_in * n >= len(words))
+        return out
+
+    return flagged(docs, text_col, hit).filter("flag = 0").select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, longer_than: int = 0, one_in: int | None = None, id_col: str = "doc_id",

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bound_batches, span_hashes, spread, steps, words
+from panelspark.llm.common import bound_batches, flagged, span_hashes, spread, steps, words
 from panelspark.session import cut_lineage
 
 #: Letters in the longest context and the letter after it: a key of ORDER bytes fits into 64 bits.
@@ -279,8 +279,11 @@ def score(docs: DataFrame, model: Model | None, held_out: Column, id_col: str =
                                    f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def filter_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` not predicted to be toxic, with their columns; ids name documents, and a null id is one."""
-    bad = score(docs, train(docs, labels, id_col, **how), held_out, id_col).filter("predicted = 1")
-    bad = cut_lineage(bad.select(F.col("doc_id").alias("__bad")).distinct(), "toxic")
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")
+def filter_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of `docs` that a model learned from them doesn't predict to be toxic, with their columns."""
+    model = train(docs, labels, id_col, text_col, **how)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = flagged(docs, text_col, lambda raw, offsets: shared.value.score(shared.value.features(raw, offsets)) >= 0.5)
+    return rows.filter("flag = 0").select("row.*")
