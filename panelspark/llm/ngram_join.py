@@ -6,10 +6,10 @@ sizes, sketches are cut into P equal ranges of bits; sets that differ in D eleme
 a set that offers more than D non-empty ranges as join keys meets each of its partners (pigeonhole). Ranges are
 compared by the XOR of the hashes of their bits.
 
-Sets in many copies are one class. A key that many classes share is hot: its classes are compared with the
-least one only; as keys of any order may be used, classes with over D keys that aren't hot need no others, and the rest
-compare, by their rarest hot keys, what is still in different components. Candidates pass a folded sketch
-(Hamming distance) before their sets are compared.
+Sets in many copies are one class. A key that many classes share is hot and pairs nothing by itself: classes with over D keys
+that aren't hot meet all of their partners by those. The others take their rarest hot keys, too: first each is compared with
+the least class of each such key, and what is then still in different components is compared by sketches, in blocks
+of classes that hot keys connect. Candidates pass a folded sketch (Hamming distance) before their sets are compared.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 SIZE = 5
 #: Classes that may share a key before it is hot: up to here all their pairs are candidates.
 FEW = 8
+#: Classes in a block.
+BLOCK = 256
 #: Hash functions that a set with too many empty ranges may try.
 SEEDS = 6
 
@@ -149,7 +151,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(n_buckets: int):
-    """Keys of the step's classes by bucket, packed. Of a key that is hot within the step the first class goes on; the others are paired with it here."""
+    """Keys of the step's classes by bucket, packed. Of a key that is hot within the step one class is packed; the others get rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raw, offsets in steps(batches, "text"):
             value, at = shingles(raw, offsets)
@@ -174,7 +176,7 @@ def _dealt(n_buckets: int):
             if len(stay):
                 signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[stay].astype(np.int32)), signed(c[which[np.repeat(begin, size)[stay]]]), signed(c[which[stay]]), signed(key[stay]),
+                    [pa.array(bucket[stay].astype(np.int32)), pa.nulls(len(stay), pa.int64()), signed(c[which[stay]]), signed(key[stay]),
                      pa.array(band[stay].astype(np.int32)), pa.array(spare[stay].astype(np.int32)), pa.nulls(len(stay), pa.binary())], ROW)
             go = np.flatnonzero(~hot | (place == 0))
             go = go[np.argsort(bucket[go] << np.uint64(32) | which[go].astype(np.uint64) << np.uint64(12) | band[go].astype(np.uint64), kind="stable")]
@@ -215,7 +217,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _matched(_key, group):
-    """Pairs of classes that share a key of the bucket, and the hot keys with their classes."""
+    """Pairs (a, b) of classes that share a key of the bucket, and the hot keys with each of their classes (b)."""
     here = group.filter(pc.is_null(group["blob"])).select(ROW[1:-1])
     here = here.append_column("hot", pa.array(np.ones(here.num_rows, np.bool_)))
     parts = [unpack(b.as_buffer()) for b in group["blob"] if b.is_valid]
@@ -244,11 +246,10 @@ def _matched(_key, group):
         pairs.append(np.stack([c[at], c[at + k]]))
     pairs = np.unique(np.concatenate(pairs, 1), axis=1)
     mine = np.flatnonzero(np.repeat(any_hot, size))
-    center = np.repeat(begin, size)[mine]
     full = np.uint64(bucket) << np.uint64(32) | key[mine].astype(np.uint64)
     none = np.zeros(len(pairs[0]), np.int64)
     signed = lambda x, y: np.concatenate([x, y]).astype(np.uint64).view(np.int64)
-    met = pa.table({"a": signed(pairs[0], c[center]), "b": signed(pairs[1], c[mine]), "hot": np.concatenate([none > 0, np.ones(len(mine), np.bool_)]),
+    met = pa.table({"a": signed(pairs[0], np.zeros(len(mine), np.uint64)), "b": signed(pairs[1], c[mine]), "hot": np.concatenate([none > 0, np.ones(len(mine), np.bool_)]),
                     "key": signed(none, full), "band": np.concatenate([none, band[mine]]).astype(np.int32),
                     "spare": np.concatenate([none, spare[mine]]).astype(np.int32)})
     return pa.concat_tables([met.select(MET), here.select(MET)])
@@ -282,14 +283,73 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["r1", "r2"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """r1, r2: the representatives of candidate pairs (a, b) of classes whose sets are similar, as a written table."""
+def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """r1, r2, n1, n2: the representatives of those pairs (a, b) of classes whose sizes and sketches don't rule them out."""
     one = classes.select(F.col("c").alias("a"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = classes.select(F.col("c").alias("b"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    near = cut_lineage(
-        pairs.join(one, "a").join(two, "b").filter("r1 <> r2 AND 4 * least(n1, n2) >= 3 * greatest(n1, n2)")
-        .select("r1", "r2", "n1", "n2", "s1", "s2").mapInArrow(_near, "r1 long, r2 long, n1 long, n2 long"), "near")
+    return (pairs.join(one, "a").join(two, "b").filter("r1 <> r2 AND 4 * least(n1, n2) >= 3 * greatest(n1, n2)")
+            .select("r1", "r2", "n1", "n2", "s1", "s2").mapInArrow(_near, "r1 long, r2 long, n1 long, n2 long"))
+
+
+def needed_hot_keys(hot: DataFrame) -> DataFrame:
+    """c, key, band: the rarest hot keys of classes that lost more keys to them than they may, as many as they miss."""
+    hot = cut_lineage(hot.distinct(), "hot")
+    lost = hot.groupBy("c", "band").agg((F.count(F.lit(1)) - F.max("spare")).alias("need")).filter("need > 0")
+    times = hot.groupBy("key", "band").agg(F.count(F.lit(1)).alias("times"))
+    rank = Window.partitionBy("c", "band").orderBy("times", "key")
+    return (hot.join(lost, ["c", "band"]).join(times, ["key", "band"]).withColumn("place", F.row_number().over(rank))
+            .filter("place <= need").select("c", "key", "band"))
+
+
+def in_blocks(classes: DataFrame) -> DataFrame:
+    """r1, r2, n1, n2: pairs of one family, not of one component, that sizes and sketches don't rule out.
+
+    Each family is sorted by size and cut into blocks; blocks whose sizes are near enough are compared, each pair of blocks in a
+    task of its own.
+    """
+    order = Window.partitionBy("family").orderBy("n", "c")
+    rows = cut_lineage(classes.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "blocks")
+    ends = rows.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    i, j = ends.alias("i"), ends.alias("j")
+    both = (i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & (3 * F.col("j.low") <= 4 * F.col("i.high")))
+            .select(F.col("i.family").alias("family"), F.col("i.block").alias("b1"), F.col("j.block").alias("b2")))
+    sides = (both.withColumn("block", F.col("b1")).unionByName(both.filter("b1 < b2").withColumn("block", F.col("b2"))))
+    return (rows.join(sides, ["family", "block"]).select("family", "b1", "b2", "block", "c", "n", "rep", "comp", "sketch")
+            .groupBy("family", "b1", "b2").applyInArrow(_compared, "r1 long, r2 long, n1 long, n2 long"))
+
+
+def _compared(_key, group):
+    block, n, rep, comp = (group[x].to_numpy() for x in ("block", "n", "rep", "comp"))
+    sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["sketch"]]
+    words_of = np.array([len(x) for x in sketch])
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in np.unique(words_of[right]).tolist():
+        theirs = right[words_of[right] == size]
+        table = np.stack([sketch[k] for k in theirs])
+        for k in left.tolist():
+            mine, there = sketch[k], table
+            if len(mine) > size:
+                mine = np.bitwise_xor.reduce(mine.reshape(-1, size), axis=0)
+            elif len(mine) < size:
+                there = np.bitwise_xor.reduce(table.reshape(len(table), -1, len(mine)), axis=1)
+            near = np.bitwise_count(there ^ mine).sum(1, dtype=np.int64) <= apart(n[theirs], n[k])
+            near &= (comp[theirs] != comp[k]) & (4 * np.minimum(n[theirs], n[k]) >= 3 * np.maximum(n[theirs], n[k]))
+            if near.any():
+                found = theirs[near]
+                out.append((np.full(len(found), k), found))
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first = (rep[a] < rep[b]) | (block.min() != block.max())  # in a block of its own each pair turns up twice
+    a, b = a[first], b[first]
+    return pa.table({"r1": rep[a], "r2": rep[b], "n1": n[a], "n2": n[b]})
+
+
+def verified(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """r1, r2: those of the candidates whose sets are similar, as a written table."""
+    near = cut_lineage(near, "near")
     wanted = near.select(F.col("r1").alias("rep")).union(near.select(F.col("r2").alias("rep"))).distinct()
+    texts = rows.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
     sets = cut_lineage(texts.join(wanted, "rep").mapInArrow(_sets, "rep long, shingles binary"), "sets")
     return cut_lineage(
         near.join(sets.select(F.col("rep").alias("r1"), F.col("shingles").alias("x1")), "r1")
@@ -333,28 +393,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spread(texts.select("text")).mapInArrow(_dealt(buckets), "bucket int, a long, b long, key long, band int, spare int, blob binary")
     met = cut_lineage(dealt.groupBy("bucket").applyInArrow(_matched, "a long, b long, hot boolean, key long, band int, spare int"), "met")
-    pairs = met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(pairs, classes, texts.withColumnRenamed("doc_id", "rep"))
+    pairs = met.filter("NOT hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = needed_hot_keys(met.filter("hot").select(F.col("b").alias("c"), "key", "band", "spare"))
+    hot = cut_lineage(hot, "hot_keys")
+    star = (hot.join(hot.groupBy("key", "band").agg(F.min("c").alias("a")), ["key", "band"]).filter("a <> c")
+            .select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")))
+    links = verified(candidates(pairs.unionByName(star).distinct(), classes), rows)
     comp = components(links)
 
-    # hot keys: only classes that lack other keys, only their rarest ones, only where components differ
-    hot = met.filter("hot").select(F.col("b").alias("c"), "key", "band", "spare").distinct()
-    lost = hot.groupBy("c", "band").agg(F.count(F.lit(1)).alias("lost"), F.max("spare").alias("spare0")).filter("lost > spare0")
-    short = hot.join(lost, ["c", "band"]).select("c", "key", "band", (F.col("lost") - F.col("spare0")).alias("need"))
-    shared = short.join(hot.groupBy("key", "band").agg(F.count(F.lit(1)).alias("times")), ["key", "band"])
-    rank = Window.partitionBy("c", "band").orderBy("times", "key")
-    least = shared.withColumn("place", F.row_number().over(rank)).filter("place <= need")
-    label = classes.join(comp, F.col("rep") == F.col("v"), "left").select("c", "n", F.coalesce("comp", "rep").alias("comp"))
-    member = least.join(label, "c").select("key", "band", "c", "n", "comp")
-    split = member.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "band")
-    member = cut_lineage(member.join(split, ["key", "band"]), "unsettled")
+    label = classes.join(comp, F.col("rep") == F.col("v"), "left").select("c", "n", "rep", "sketch", F.coalesce("comp", "rep").alias("comp"))
+    member = hot.select("key", "band", "c").join(label.select("c", "comp"), "c")
+    split = member.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("r1")).filter("lo < hi")
+    member = cut_lineage(member.join(split.select("key", "band", "r1"), ["key", "band"]).select("c", "r1").distinct(), "unsettled")
     if member.limit(1).count():
-        x, y = member.alias("x"), member.alias("y")
-        more = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") < F.col("y.comp"))
-                       & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")))
-                .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
-        extra = verified(more, classes, texts.withColumnRenamed("doc_id", "rep"))
-        comp = components(links.union(extra))
+        family = components(member.select("r1", F.col("c").alias("r2")))
+        more = in_blocks(family.select(F.col("v").alias("c"), F.col("comp").alias("family")).join(label, "c"))
+        comp = components(links.unionByName(verified(more, rows)))
     final = classes.join(comp, F.col("rep") == F.col("v"), "left").select("c", "c2", "n", F.coalesce("comp", "rep").alias("component_id"))
     return (seen.select("doc_id", "n", "c", "c2").join(final, ["c", "c2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
