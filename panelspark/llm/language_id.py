@@ -55,7 +55,7 @@ def codewords(k: int) -> np.ndarray:
     """k rows of +1 and -1: all ways to split up to seven languages, else the best of some random codes."""
     if k <= 7:
         bits = np.arange(1, 1 << max(k - 1, 0))
-        return np.array([[-1 if j and (b >> (j - 1)) & 1 else 1 for b in bits] for j in range(k)]).reshape(k, -1)
+        return np.array([[-1 if j and (b >> (j - 1)) & 1 else 1 for b in bits] for j in range(k)]).reshape(k, len(bits))
     width, best = 8 + 5 * int(np.ceil(np.log2(k))), None
     for seed in range(64):
         code = np.random.default_rng(seed).choice([-1, 1], (k, width))
