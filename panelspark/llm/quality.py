@@ -43,7 +43,7 @@ class Network:
     def forward(self, raw: np.ndarray, offsets: np.ndarray, keep: bool = False):
         """Scores of the texts; with `keep`, also what the backward pass needs. Filters see zeros behind a text's end."""
         sizes = np.diff(offsets)
-        cells = np.maximum(-(-sizes // SEGMENT), 1)  # segments of each text
+        cells = -(-(sizes + WIDTH - 1) // SEGMENT)  # segments of each text, with room for a filter behind its end
         first = np.concatenate([[0], np.cumsum(cells)])
         shift = np.repeat(first[:-1] * SEGMENT - offsets[:-1], sizes)
         grid = np.full(first[-1] * SEGMENT + WIDTH, 256, np.int64)  # 256: no byte
