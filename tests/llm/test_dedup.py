@@ -74,7 +74,7 @@ def test_column_wise_order_and_prefixes():
     for size in (1, 2, 9, 30):
         strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 25))).encode() for _ in range(size)]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-        piece, length, common = suffix_dedup.column_wise(np.frombuffer(b"".join(strings), np.uint8), ends)
+        piece, length, common = suffix_dedup.column_wise(np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16), ends)
         got = [strings[p][len(strings[p]) - n:] for p, n in zip(piece, length)]
         assert got == sorted(got) and len(got) == sum(len(s) + 1 for s in strings)
         assert len(set(zip(piece.tolist(), length.tolist()))) == len(got)
