@@ -141,3 +141,39 @@ def heavy_hitters(df: DataFrame, column: str, k: int = 256, tracked: int = 1024,
     return (some.groupBy(F.lit(0).alias("one"))
             .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top"))
             .select(F.explode("top.item").alias(column)))
+
+
+def id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64), 41) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_filter(df: DataFrame, column: str, bits: int = 27) -> np.ndarray:
+    """A bitmap of the hashes of a column of whole numbers, made in parts of 2**16 bits: of one size, whatever the input.
+
+    It tells which rows a later join can use at all, before they are shuffled; others pass by chance, the more the fuller it is.
+    """
+    def bit_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(id_bits(batch.column(0).to_numpy(), bits))
+            part, low = bit >> 16, (bit & 0xFFFF).astype(np.uint16)
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(bit)] if len(bit) else [0]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(
+                [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "low"])
+
+    def united(_key, group):
+        seen = np.zeros(1 << 16, np.bool_)
+        seen[np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in group["low"]), np.uint16)] = True
+        return pa.table({"part": group["part"].slice(0, 1), "map": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+    found = (df.filter(F.col(column).isNotNull()).select(F.col(column).cast("long")).mapInArrow(bit_parts, "part int, low binary")
+             .groupBy("part").applyInArrow(united, "part int, map binary").toArrow())
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for part, m in zip(found["part"].to_pylist(), found["map"]):
+        out[part << 13:(part + 1) << 13] = np.frombuffer(m.as_buffer(), np.uint8)
+    return out
+
+
+def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter lets pass."""
+    bit = id_bits(ids, int(len(bitmap) * 8).bit_length() - 1)
+    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bound_batches, lowered, mixed, span_hashes, spread, steps, words
+from panelspark.llm.common import bound_batches, id_filter, lowered, mixed, passes, span_hashes, spread, steps, words
 from panelspark.session import cut_lineage
 
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -265,12 +265,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["r1", "r2", "n1", "n2"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, raw, offsets in steps(batches, "text"):
-        value, at = shingles(raw, offsets)
-        data = value.tobytes()
-        cut = (8 * at).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([data[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["rep", "shingles"])
+def _sets(shared):
+    """Shingle sets of the texts whose ids the filter lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = (b.filter(pa.array(passes(shared.value, b.column("rep").to_numpy()))) for b in batches)
+        for batch, raw, offsets in steps(wanted, "text"):
+            value, at = shingles(raw, offsets)
+            data, cut = value.tobytes(), (8 * at).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([data[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["rep", "shingles"])
+    return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +351,10 @@ def _compared(_key, group):
 def verified(near: DataFrame, rows: DataFrame) -> DataFrame:
     """r1, r2: those of the candidates whose sets are similar, as a written table."""
     near = cut_lineage(near, "near")
-    wanted = near.select(F.col("r1").alias("rep")).union(near.select(F.col("r2").alias("rep"))).distinct()
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(
+        near.select(F.explode(F.array("r1", "r2")).alias("rep")), "rep"))  # of fixed size
     texts = rows.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
-    sets = cut_lineage(texts.join(wanted, "rep").mapInArrow(_sets, "rep long, shingles binary"), "sets")
+    sets = cut_lineage(texts.mapInArrow(_sets(shared), "rep long, shingles binary"), "sets")
     return cut_lineage(
         near.join(sets.select(F.col("rep").alias("r1"), F.col("shingles").alias("x1")), "r1")
         .join(sets.select(F.col("rep").alias("r2"), F.col("shingles").alias("x2")), "r2")
