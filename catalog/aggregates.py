@@ -26,6 +26,12 @@ def a3(spark, sf):
     return clean.gaps(pd_daily(spark, sf), 365)
 
 
+@query("A3_short_gaps", with_("pd", n="SELECT entity_id, ts AS gap_start, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) AS gap_end FROM pd") +
+       "SELECT *, gap_end - gap_start AS gap_days FROM n WHERE gap_end - gap_start > 14")
+def a3_short(spark, sf):
+    return clean.gaps(pd_daily(spark, sf), 14)
+
+
 @query("A4_cells_with_data", f"""WITH sg AS ({_SPARSE_GRID}) SELECT DISTINCT cell_id FROM sg WHERE a IS NOT NULL""")
 def a4(spark, sf):
     return grids.cells_with_data(_sparse_grid(spark, sf), ["a", "b"])

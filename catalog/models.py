@@ -1,19 +1,20 @@
 from pyspark.sql import functions as F
 
-from catalog.aggregates import FRACTIONS, _CV, _REL, chosen_relations, cv_pairs, trend_ctes
+from catalog.aggregates import CV, FRACTIONS, _CV, _REL, chosen_relations, cv_pairs, cv_split, trend_ctes
 from catalog.common import (COARSE, END, R, START, dense_sql, diamond_edges, drought_grid, grid_sql, land_grid,
-                            nation_points, pa_monthly, pb_monthly, pchip_ctes, pd_daily, query, rounded, table, with_)
+                            nation_points, pa_monthly, pb_monthly, pchip_ctes, pd_daily, query, rounded, supplier_points, table, with_)
 from catalog.joins import _NEAREST_COARSE, coarse_cells, pb_candidates
 from catalog.projections import _GROUNDWATER
 from catalog.windows import CLEAN, PRIOR, middle
 from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES, MONTHS, GridSpec, RunConfig
 from panelspark.operators import features as feat, folds, grid as grids, model, polygon, prior, relate, surface, timeline
-from panelspark.plans.imputation import fit_and_fill, linear_imputation, satellite_rows
+from panelspark.operators.nearest import without_position
+from panelspark.plans.imputation import fit_and_fill, linear_imputation, model_rows, satellite_rows
 from panelspark.plans.refinement import iterative_refinement
 from panelspark.plans.run import Inputs, run
 from panelspark.session import cut_lineage, new_path
 
-NET = RunConfig(start=START, end=END, epochs=40, batch_size=32, min_months=50, n_iterations=2)
+NET = RunConfig(start=START, end=END, estimator="linear", min_months=50)
 
 
 # --- feature table --------------------------------------------------------------------------
@@ -59,26 +60,64 @@ def _satellite_rows(spark, sf):
                           NET, ["sc_PDSI_pm_filled"])
 
 
-def _fitted(spark, sf, estimator="mlp"):
+def _fitted(spark, sf):
     rows = cut_lineage(_satellite_rows(spark, sf), "rows")
-    fitted = model.fit_folds(folds.training_rows(rows, NET.folds, NET.validation_split, NET.seed), NET.epochs, NET.batch_size, NET.seed, estimator, NET.folds)
+    fitted = model.fit_folds(folds.training_rows(rows, NET.folds, NET.validation_split, NET.seed), estimator="linear", last_fold=NET.folds)
     return rows, cut_lineage(fitted, "fits")
 
 
-@query("M5_network_folds")
-def m5_mlp(spark, sf):
-    return model.predictions(_fitted(spark, sf)[1])
-
-
 @query("M5_least_squares_folds")
 def m5_ls(spark, sf):
-    return model.predictions(_fitted(spark, sf, "linear")[1])
+    return model.predictions(_fitted(spark, sf)[1])
 
 
 @query("M6_final_fit")
 def m6(spark, sf):
     rows, fitted = _fitted(spark, sf)
-    return model.predictions(model.fit_final(rows, model.warm_starts(fitted, NET.folds), seed=NET.seed))
+    return model.predictions(model.fit_final(rows, model.warm_starts(fitted, NET.folds), estimator="linear"))
+
+
+def plane(src, y, by, only):
+    """CTE: least-squares plane of `y` over x and z in each group."""
+    return f"""SELECT *, my - bx * mx - bz * mz AS b0 FROM (SELECT *, (cxy * vz - czy * cxz) / (vx * vz - cxz * cxz) AS bx, (czy * vx - cxy * cxz) / (vx * vz - cxz * cxz) AS bz
+        FROM (SELECT {by}, var_pop(x) AS vx, var_pop(z) AS vz, covar_pop(x, z) AS cxz, covar_pop(x, {y}) AS cxy, covar_pop(z, {y}) AS czy,
+        avg(x) AS mx, avg(z) AS mz, avg({y}) AS my FROM {src} WHERE {only} GROUP BY {by}))"""
+
+
+def _pair_rows(rows, x):
+    return rows.withColumns({"scaled": F.array(F.col(f"`{x}`"), F.month("ts").cast("double")), "passed": F.array().cast("array<double>")})
+
+
+@query("M5_two_feature_folds", with_("pam", **{k: CV[k] for k in ("feat", "folded", "lots", "split")}, wide="SELECT *, CAST(month(ts) AS DOUBLE) AS z FROM split",
+    line=plane("wide", "value", "entity_id, fold", "split = 'train'")) + f"""SELECT entity_id, ts, fold, split, {R('value')} AS value, {R('b0 + bx * x + bz * z', 4)} AS yhat
+    FROM wide JOIN line USING (entity_id, fold)""")
+def m5_two(spark, sf):
+    return rounded(model.predictions(model.fit_folds(_pair_rows(cv_split(spark, sf), "x"), estimator="linear")), 6, yhat=4)
+
+
+_PAIR = {**PRIOR, "rolled": "SELECT *, CAST(month(ts) AS DOUBLE) AS z, avg(prior) OVER (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS x FROM prior",
+         "line": plane("rolled", "value", "entity_id", "x IS NOT NULL AND value IS NOT NULL")}
+
+
+def _final_pair(spark, sf):
+    panel = middle(spark, sf)
+    rows = prior.prior_features(panel, FRACTIONS, 0.10, (24,))
+    rows = model_rows(_pair_rows(rows, "24m_rw").filter("`24m_rw` IS NOT NULL").withColumn("_m", F.month("ts").cast("double")), ["24m_rw", "_m"], [])
+    warm = middle(spark, sf).select("entity_id").distinct().select("entity_id", F.lit(0).alias("epochs"), F.lit(None).cast("array<double>").alias("weights"))
+    return panel, model.predictions(model.fit_final(rows, warm, estimator="linear"))
+
+
+@query("M6_two_feature_final", with_("pb", **_PAIR) + f"""SELECT entity_id, ts, {R('value', 4)} AS value, {R('b0 + bx * x + bz * z', 2)} AS yhat
+    FROM rolled JOIN line USING (entity_id) WHERE x IS NOT NULL""")
+def m6_two(spark, sf):
+    return rounded(_final_pair(spark, sf)[1].select("entity_id", "ts", "value", "yhat"), 4, yhat=2)
+
+
+@query("M8_two_feature_fill", with_("pb", **_PAIR) + f"""SELECT entity_id, ts, {R('coalesce(value, b0 + bx * x + bz * z)', 2)} AS value, value IS NOT NULL AS is_observed
+    FROM rolled LEFT JOIN line USING (entity_id)""")
+def m8_two(spark, sf):
+    panel, predicted = _final_pair(spark, sf)
+    return rounded(folds.fill(panel, predicted), 2)
 
 
 @query("M7_fill", with_("pam", lines="""SELECT entity_id, regr_slope(value, x) AS s, regr_intercept(value, x) AS i FROM
@@ -153,6 +192,25 @@ def point_cells(spark, sf):
                                            "lon", "lat")
 
 
+@query("S3_without_position", """SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, 'no position' AS status FROM supplier WHERE s_acctbal < 0""")
+def s3_missing(spark, sf):
+    # suppliers in debt have lost one of their coordinates
+    lost = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("entity_id"), (F.col("s_acctbal") < 0).alias("_lost"))
+    points = supplier_points(spark, sf).join(lost, "entity_id")
+    gone = F.when(~F.col("_lost"), F.col("lon"))
+    return without_position(points.withColumn("lon", gone))
+
+
+@query("J6_nearest_with_positions", with_("spts", near="""SELECT s.entity_id, g.cell_id, row_number() OVER (PARTITION BY s.entity_id
+    ORDER BY (s.lon - g.lon) * (s.lon - g.lon) + (s.lat - g.lat) * (s.lat - g.lat), g.cell_id) AS rank
+    FROM spts s JOIN supplier p ON s.entity_id = CAST(p.s_suppkey AS VARCHAR) CROSS JOIN g WHERE p.s_acctbal >= 0""").replace("WITH ", f"WITH g AS ({grid_sql(COARSE)}),\n", 1) +
+    "SELECT entity_id, cell_id, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 2")
+def j6_positions(spark, sf):
+    lost = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("entity_id"), (F.col("s_acctbal") < 0).alias("_lost"))
+    points = supplier_points(spark, sf).join(lost, "entity_id").withColumn("lat", F.when(~F.col("_lost"), F.col("lat")))
+    return grids.nearest_cells(points, grids.create_grid(spark, COARSE), COARSE, 2).select("entity_id", "cell_id", "rank")
+
+
 @query("M12_weights_sum_to_one", with_("npts", g=grid_sql(DROUGHT_INDEX)) +
        "SELECT cell_id, 1e0 AS total, (SELECT count(*) FROM npts) AS n_points FROM g")
 def m12(spark, sf):
@@ -160,7 +218,7 @@ def m12(spark, sf):
     return rounded(w.groupBy("cell_id").agg(F.sum("w").alias("total"), F.count("w").alias("n_points")))
 
 
-@query("M12_exact_at_points", with_("pb", "pbc") + f"""SELECT entity_id, ts, {R('value', 4)} AS value FROM pbc WHERE entity_id <> 'NATION_3'""")
+@query("M12_exact_at_points", with_("pb", "pbc") + f"""SELECT entity_id, ts, {R('value', 3)} AS value FROM pbc WHERE entity_id <> 'NATION_3'""")
 def m12b(spark, sf):
     # the weights of a point's own position give back its value
     panel = surface.complete_entities(pb_candidates(spark, sf))
@@ -168,7 +226,7 @@ def m12b(spark, sf):
     cells = point_cells(spark, sf)
     out = surface.apply_weights(surface.kriging_weights(cells, points), panel)
     names = F.concat(F.lit("NATION_"), F.col("cell_id").cast("string"))
-    return rounded(out.select(names.alias("entity_id"), "ts", "value").filter("entity_id <> 'NATION_3'"), 4)
+    return rounded(out.select(names.alias("entity_id"), "ts", "value").filter("entity_id <> 'NATION_3'"), 3)
 
 
 @query("M13_surfaces", with_("pb") + f"SELECT entity_id, ts, {R('value', 4)} AS value FROM pb")
@@ -208,6 +266,5 @@ def m16(spark, sf):
                                              F.col("lat").alias("Latitude"))
     spec = GridSpec(COARSE.x_min, COARSE.y_min, COARSE.x_max, COARSE.y_max, 30.0, 30.0, ("sc_PDSI_pm_filled",))
     inputs = Inputs(readings, places, diamond_edges(spark, sf), drought_grid(spark, sf), land_grid(spark, sf), spec, COARSE)
-    config = RunConfig(start=START, end=END, epochs=15, n_iterations=1, n_x_cells=60, min_months=20,
-                       date_filter=("1995-01-01", "1999-01-01"))
+    config = RunConfig(start=START, end=END, estimator="linear", min_months=20, date_filter=("1995-01-01", "1999-01-01"))
     return run(spark, inputs, new_path(spark, "run"), config)["storage"]

@@ -121,10 +121,13 @@ def p13(spark, sf):
     return feat.complete_rows(_sparse(spark, sf), list(_SPARSE))
 
 
-@query("P14_split_label", with_("pam") + """SELECT entity_id, ts, CAST(month(ts) AS INTEGER) AS m, CAST(year(ts) AS INTEGER) AS y FROM pam""")
+@query("P14_split_label", with_("pam") + f"""SELECT entity_id, ts, CAST(month(ts) AS INTEGER) AS m, CAST(year(ts) AS INTEGER) AS y, NULL AS value, 'features' AS side
+    FROM pam UNION ALL SELECT entity_id, ts, NULL, NULL, {R('value')}, 'label' FROM pam""")
 def p14(spark, sf):
     rows = pa_monthly(spark, sf).withColumn("m", F.month("ts")).withColumn("y", F.year("ts"))
-    return feat.split_label(rows, "value")[1]
+    label, features = feat.split_label(rows, "value")
+    return (features.withColumn("side", F.lit("features"))
+            .unionByName(rounded(label).withColumn("side", F.lit("label")), allowMissingColumns=True))
 
 
 @query("P15_bounding_box", with_("diamonds", "box") + "SELECT * FROM box")
@@ -170,6 +173,24 @@ def p19(spark, sf):
                                     pad=False, exclude=taken)
 
 
+@query("P19_polygon_exclusion", with_("diamonds", "cpts", g=grid_sql(DROUGHT_INDEX), s=_snap_sql(DROUGHT_INDEX, "cpts")) + """SELECT g.* FROM g
+    WHERE EXISTS (SELECT 1 FROM diamonds d WHERE abs(g.lon - d.lon) + abs(g.lat - d.lat) < d.radius
+    AND NOT (d.has_hole AND abs(g.lon - d.lon) + abs(g.lat - d.lat) <= 1)) AND NOT EXISTS (SELECT 1 FROM s WHERE s.row = g.row AND s.col = g.col)""")
+def p19b(spark, sf):
+    taken = grids.snap(customer_points(spark, sf), DROUGHT_INDEX).select(
+        (F.col("row").cast("bigint") * DROUGHT_INDEX.n_cols + F.col("col")).alias("cell_id")).distinct()
+    return polygon.cells_in_polygons(diamond_edges(spark, sf), DROUGHT_INDEX, exclude=taken)
+
+
+@query("P2_calendar_steps", " UNION ALL ".join(f"""SELECT '{s}' AS step, CAST(unnest(generate_series(date_trunc('{s}', lo - INTERVAL 1 DAY) + INTERVAL {n},
+    date_trunc('{s}', hi), INTERVAL {n})) AS DATE) AS ts FROM (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)"""
+    for s, n in (("week", "7 DAY"), ("quarter", "3 MONTH"), ("year", "1 YEAR"))))
+def p2_steps(spark, sf):
+    days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("ts"))
+    parts = [timeline.panel_calendar(days, step=s).select(F.lit(s).alias("step"), "ts") for s in ("week", "quarter", "year")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _DENSE_PB = f"""SELECT e.entity_id, c.ts, p.value FROM (SELECT DISTINCT entity_id FROM pb) e CROSS JOIN
     ({calendar_sql('1993-01-01', '2003-12-01')}) c LEFT JOIN pb p ON p.entity_id = e.entity_id AND p.ts = c.ts"""
 

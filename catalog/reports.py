@@ -2,13 +2,8 @@ from pyspark.sql import functions as F
 
 from catalog.aggregates import FRACTIONS, _CV, _knots, cv_pairs, cv_split
 from catalog.common import R, pa_monthly, query, rounded, with_
-from catalog.models import _fitted
-from panelspark.operators import model, prior, report
-
-
-@query("V1_training_history")
-def v1(spark, sf):
-    return model.history(_fitted(spark, sf)[1])
+from catalog.joins import _ACCEPTED, accepted
+from panelspark.operators import prior, report
 
 
 _SIDES = """SELECT a.entity_id, f AS fraction, side, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM k a
@@ -24,11 +19,11 @@ def v2(spark, sf):
     return rounded(prior.trend_candidates(pa_monthly(spark, sf), FRACTIONS), 8)
 
 
-@query("V3_prediction_pairs", _CV + f"""SELECT entity_id, ts, {R('p.value')} AS value, {R('q.yhat', 5)} AS yhat FROM (SELECT * FROM pam WHERE month(ts) <> 12) p
+@query("V3_prediction_pairs", _CV + f""", acc AS ({_ACCEPTED}) SELECT entity_id, ts, {R('p.value')} AS value, {R('q.yhat', 5)} AS yhat FROM acc p
     FULL JOIN (SELECT entity_id, ts, yhat FROM pairs WHERE split = 'test') q USING (entity_id, ts)""")
 def v3(spark, sf):
     pred = cv_pairs(spark, sf).filter("split = 'test'").select("entity_id", "ts", "yhat")
-    return rounded(report.prediction_pairs(pa_monthly(spark, sf).filter(F.month("ts") != 12), pred), 6, yhat=5)
+    return rounded(report.prediction_pairs(accepted(spark, sf), pred), 6, yhat=5)
 
 
 @query("V4_filled_band", _CV + f"""SELECT entity_id, ts, {R('any_value(value)')} AS value, {R('avg(yhat)', 5)} AS mean, {R('stddev_samp(yhat)', 5)} AS std,

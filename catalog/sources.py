@@ -1,6 +1,8 @@
-from pyspark.sql import functions as F
+import functools
 
-from catalog.common import (R, customer_points, pd_daily, query, raster, rounded, table, with_)
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.common import (R, customer_points, pchip_ctes, pd_daily, query, raster, rounded, table, with_)
 from panelspark.config import DROUGHT_INDEX, RunConfig
 from panelspark.functions.dates import month_from_name
 from panelspark.operators import grid as grids
@@ -188,17 +190,19 @@ def s15(spark, sf):
 
 
 _S17 = with_("pd", "cpts", months="""SELECT entity_id, count(DISTINCT date_trunc('month', ts)) AS m FROM pd GROUP BY 1""",
-             good="SELECT entity_id FROM months WHERE m >= 8")
+             good="SELECT entity_id FROM months WHERE m >= 8",
+             qual="SELECT * FROM pd WHERE entity_id IN (SELECT entity_id FROM good)", **pchip_ctes("qual", 365, 90))
 
 
 @query("S17_stage_tables", _S17 + """SELECT 'timeseries_raw' AS name, count(DISTINCT entity_id) AS n_entities, count(*) AS n_rows FROM pd
     UNION ALL SELECT 'locations_raw', count(*), count(*) FROM cpts
-    UNION ALL SELECT 'locations', count(*), count(*) FROM cpts WHERE entity_id IN (SELECT entity_id FROM good)""")
+    UNION ALL SELECT 'locations', count(*), count(*) FROM cpts WHERE entity_id IN (SELECT entity_id FROM good)
+    UNION ALL SELECT 'timeseries', count(DISTINCT entity_id), count(*) FROM interp""")
 def s17(spark, sf):
     inputs = Inputs(readings_text(spark, sf), locations_text(spark, sf), None, None, None)
     config = RunConfig(start="1995-01-01", end="2001-12-01", min_months=8, max_std=1e6)
     out = clean_stage(spark, inputs, config, new_path(spark, "run"))
     parts = [out[n].select(F.lit(n).alias("name"), "entity_id")
-             for n in ("timeseries_raw", "locations_raw", "locations")]
-    return (parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name")
+             for n in ("timeseries_raw", "locations_raw", "locations", "timeseries")]
+    return (functools.reduce(DataFrame.unionByName, parts).groupBy("name")
             .agg(F.count_distinct("entity_id").alias("n_entities"), F.count(F.lit(1)).alias("n_rows")))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog.aggregates import cv_split, FRACTIONS, _CV
-from catalog.common import (END, JD, R, START, calendar_sql, dense_sql, land_grid, pa_monthly, pb_monthly, pchip_ctes, pd_daily,
+from catalog.common import (JD, R, calendar_sql, land_grid, pa_monthly, pb_monthly, pchip_ctes, pd_daily,
                             query, rounded, with_)
 from panelspark.operators import clean, features as feat, folds, prior, timeline
 
@@ -27,17 +27,16 @@ def _trailing(name, n, var):
 _trailing("W2_trailing_sum_4", 4, "Rainf_tavg")
 _trailing("W3_trailing_sum_3", 3, "SWE_inst")
 
-# observations of two years only, so that all three segments exist
-_MIDDLE = """SELECT entity_id, ts, CASE WHEN ts BETWEEN DATE '1997-01-01' AND DATE '1999-06-01' THEN value END AS value FROM dense"""
+# a calendar wider than the data, so that all three segments exist
+WIDE = ("1993-01-01", "2003-12-01")
 
 
 def middle(spark, sf):
-    dense = timeline.densify(pb_monthly(spark, sf), START, END)
-    seen = F.col("ts").between(F.lit("1997-01-01").cast("date"), F.lit("1999-06-01").cast("date"))
-    return dense.withColumn("value", F.when(seen, F.col("value")))
+    return timeline.densify(pb_monthly(spark, sf), *WIDE)
 
 
-SEGMENTS = {"dense": dense_sql("pb"), "mid": _MIDDLE,
+SEGMENTS = {"mid": f"""SELECT e.entity_id, c.ts, p.value FROM (SELECT DISTINCT entity_id FROM pb) e CROSS JOIN
+    ({calendar_sql(*WIDE)}) c LEFT JOIN pb p ON p.entity_id = e.entity_id AND p.ts = c.ts""",
             "seg": """SELECT *, min(CASE WHEN value IS NOT NULL THEN ts END) OVER (PARTITION BY entity_id) AS first_obs,
                 max(CASE WHEN value IS NOT NULL THEN ts END) OVER (PARTITION BY entity_id) AS last_obs FROM mid"""}
 
@@ -82,14 +81,14 @@ def w9(spark, sf):
     return rounded(clean.despike(pa_monthly(spark, sf), 7), 7)
 
 
-@query("T2_nearest_by_distance", with_("npts", d="""SELECT a.entity_id AS target, b.entity_id AS candidate,
-    sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS distance FROM npts a JOIN npts b ON a.entity_id <> b.entity_id""") +
+@query("T2_nearest_by_distance", with_("spts", d="""SELECT a.entity_id AS target, b.entity_id AS candidate,
+    sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS distance FROM spts a JOIN spts b ON a.entity_id <> b.entity_id""") +
        f"""SELECT target, candidate, {R('distance')} AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
        (PARTITION BY target ORDER BY distance, candidate) AS rank FROM d) WHERE rank <= 4""")
 def t2(spark, sf):
-    from catalog.common import nation_points
+    from catalog.common import supplier_points
     from panelspark.operators.relate import nearest_points
-    return rounded(nearest_points(nation_points(spark, sf), 4))
+    return rounded(nearest_points(supplier_points(spark, sf), 4))
 
 
 # --- priors -----------------------------------------------------------------------------

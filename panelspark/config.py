@@ -1,6 +1,7 @@
 """Run configuration and grid descriptors."""
 
-from dataclasses import dataclass, field
+import hashlib
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ class RunConfig:
     anchor: str = "range_start"
     folds: int = 5
     validation_split: float = 0.3
-    batch_size: int = 32
+    batch_size: int = 128
     epochs: int = 700
     seed: int = 42
     estimator: str = "mlp"
@@ -113,7 +114,12 @@ class RunConfig:
     units: str = "English"
     storage_coefficient: float = 0.2
     date_filter: tuple[str, str] | None = ("1948-01-01", "1978-01-01")
-    covariates: GridSpec = field(default=LAND_SURFACE)
+
+    def key(self, *names: str) -> str:
+        """Fingerprint of the parameters up to the last of `names` (all, without names): what a stored stage depends on."""
+        every = [f.name for f in fields(self)]
+        upto = max((every.index(n) for n in names), default=len(every) - 1) + 1
+        return hashlib.sha256(repr([(n, getattr(self, n)) for n in every[:upto]]).encode()).hexdigest()[:16]
 
     def __post_init__(self):
         if not 0 <= self.storage_coefficient <= 1:

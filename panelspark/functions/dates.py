@@ -20,21 +20,32 @@ def julian_day(ts: Column, is_date: bool = False) -> Column:
     return days if is_date else days + day_fraction(ts)
 
 
+#: Calendar steps: what `trunc` calls them, their length in months or days, and the most days between two starts.
+STEPS = {"day": ("DAY", 0, 1, 1), "week": ("WEEK", 0, 7, 7), "month": ("MM", 1, 0, 31), "quarter": ("QUARTER", 3, 0, 92),
+         "year": ("YEAR", 12, 0, 366)}
+LONGEST_SLOT = {step: most for step, (_, _, _, most) in STEPS.items()}
+
+
+def _step(step: str):
+    if step not in STEPS:
+        raise ValueError(f"unknown calendar step {step!r}")
+    return STEPS[step]
+
+
 def slot_start(ts: Column, step: str = "month") -> Column:
-    """First day of the calendar slot that holds `ts`."""
-    if step == "month":
-        return F.trunc(ts, "MM")
-    if step == "day":
-        return ts.cast("date")
-    raise ValueError(f"unknown calendar step {step!r}")
+    """First day of the calendar slot that holds `ts`; weeks start on Mondays."""
+    unit = _step(step)[0]
+    return ts.cast("date") if step == "day" else F.trunc(ts, unit)
 
 
 def slot_interval(step: str = "month") -> Column:
-    return F.expr({"month": "interval 1 month", "day": "interval 1 day"}[step])
+    _, months, days, _ = _step(step)
+    return F.expr(f"interval {months} month" if months else f"interval {days} day")
 
 
 def next_slot(day: Column, step: str = "month") -> Column:
-    return F.add_months(day, 1) if step == "month" else F.date_add(day, 1)
+    _, months, days, _ = _step(step)
+    return F.add_months(day, months) if months else F.date_add(day, days)
 
 
 def slot_ceil(ts: Column, step: str = "month") -> Column:

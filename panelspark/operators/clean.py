@@ -8,7 +8,7 @@ per-entity window runs.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.functions.dates import julian_day, slot_ceil, slot_start, slots_between
+from panelspark.functions.dates import LONGEST_SLOT, julian_day, slot_ceil, slot_start, slots_between
 from panelspark.functions.hermite import add_segment_slopes, segment_value
 from panelspark.operators.skew import attach, spread
 from panelspark.operators.timeline import densify, _date
@@ -64,11 +64,9 @@ def gaps(panel: DataFrame, gap_days: int = 365, step="month", entity="entity_id"
     """Pairs of consecutive readings more than `gap_days` days apart.
 
     A gap of at least one slot length has its two ends in different slots, so the slot
-    edges hold every such pair.
+    edges hold every such pair; gaps that fit into a slot are looked for on the days.
     """
-    shortest = 31 if step == "month" else 1
-    if gap_days < shortest:
-        raise ValueError(f"gap_days below {shortest} needs a finer calendar step")
+    step = step if gap_days >= LONGEST_SLOT[step] else "day"
     w = Window.partitionBy(entity).orderBy("x")
     pairs = (slot_edges(panel, step, entity, ts, value)
              .select(entity, F.col(ts).alias("gap_start"), F.lead(ts).over(w).alias("gap_end"),

@@ -1,13 +1,10 @@
 """Regular grids: generation, cropping, cubes to tables, nearest cells."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.config import GridSpec
-from panelspark.functions.geometry import squared_distance
+from panelspark.operators.nearest import has_position, nearest
 from panelspark.operators.skew import attach
-from panelspark.session import cut_lineage
-
-MAX_BROADCAST_CELLS = 1_000_000
 
 
 # --- grid generation ------------------------------------------------------------------
@@ -156,75 +153,21 @@ def crop_grid(spark: SparkSession, edges: DataFrame, spec: GridSpec, grid: DataF
 # --- nearest cells --------------------------------------------------------------------
 
 def snap(points: DataFrame, spec: GridSpec, lon="lon", lat="lat") -> DataFrame:
-    """Adds row and col of the nearest cell centre of the full grid (ties: lower cell number)."""
-    def nearest(v, n):
-        return F.least(F.greatest(F.ceil(v - 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
+    """Adds row and col of the nearest cell centre of the full grid (ties: lower cell number); NULL without a position."""
+    def index(v, n):
+        return F.when(has_position(lon, lat), F.least(F.greatest(F.ceil(v - 0.5), F.lit(0)), F.lit(n - 1)).cast("int"))
     return points.select("*",
-        nearest((F.lit(spec.y_max) - F.col(lat)) / spec.res_y, spec.n_rows).alias("row"),
-        nearest((F.col(lon) - F.lit(spec.x_min)) / spec.res_x, spec.n_cols).alias("col"))
+        index((F.lit(spec.y_max) - F.col(lat)) / spec.res_y, spec.n_rows).alias("row"),
+        index((F.col(lon) - F.lit(spec.x_min)) / spec.res_x, spec.n_cols).alias("col"))
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame, spec: GridSpec, k: int = 1,
-                  key: str = "entity_id", ring: int | None = None) -> DataFrame:
-    """The `k` nearest cells of `cells` (a subset of a regular grid) for every point.
+                  key: str = "entity_id") -> DataFrame:
+    """(key, cell_id, distance, rank): the `k` nearest cells of `cells` for every point with a position.
 
-    Looks at a square of cells around each point and keeps the answer where no cell outside
-    of the square can be nearer; the remaining points are retried with twice the square.
     Distances are Euclidean in degrees, ties go to the lower cell number.
     """
-    if ring is None:
-        ring = max(1, int(k ** 0.5) // 2 + 1)
-    todo, parts = points, []
-    reach = max(spec.n_rows, spec.n_cols)
-    while True:
-        # written once: both the answer and the list of points to retry come from it
-        found = cut_lineage(_ring_search(todo, cells, spec, k, key, min(ring, reach)), "nearest")
-        if ring >= reach:
-            parts.append(found.filter(F.col("rank") <= k))
-            break
-        sure = (found.filter(F.col("d2") < F.col("safe_d2")).groupBy(key)
-                .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select(key))
-        parts.append(found.join(sure, key, "left_semi"))
-        todo = todo.join(sure, key, "left_anti")
-        if todo.isEmpty():
-            break
-        ring *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(key, "cell_id", F.sqrt("d2").alias("distance"), "rank")
-
-
-def _ring_search(points, cells, spec, k, key, ring):
-    home = snap(points.select(key, "lon", "lat"), spec).withColumnsRenamed(
-        {"row": "_r", "col": "_c"})
-    near = (home
-            .withColumn("row", F.explode(F.sequence(F.greatest(F.col("_r") - ring, F.lit(0)),
-                                                    F.least(F.col("_r") + ring, F.lit(spec.n_rows - 1)))))
-            .withColumn("col", F.explode(F.sequence(F.greatest(F.col("_c") - ring, F.lit(0)),
-                                                    F.least(F.col("_c") + ring, F.lit(spec.n_cols - 1))))))
-    # distance to the first row or column that was not looked at, on each side
-    def beyond(exists, d):
-        return F.when(exists, d).otherwise(F.lit(float("inf")))
-    safe = F.least(
-        beyond(F.col("_r") + ring + 1 < spec.n_rows,
-               F.col("lat") - (spec.y_max - (F.col("_r") + ring + 1) * spec.res_y)),
-        beyond(F.col("_r") - ring - 1 >= 0,
-               (spec.y_max - (F.col("_r") - ring - 1) * spec.res_y) - F.col("lat")),
-        beyond(F.col("_c") + ring + 1 < spec.n_cols,
-               (spec.x_min + (F.col("_c") + ring + 1) * spec.res_x) - F.col("lon")),
-        beyond(F.col("_c") - ring - 1 >= 0,
-               F.col("lon") - (spec.x_min + (F.col("_c") - ring - 1) * spec.res_x)))
-    site = cells.select("cell_id", "row", "col", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    if spec.n_cells <= MAX_BROADCAST_CELLS:  # one row per cell, so the grid bounds its size
-        site = F.broadcast(site)
-    d2 = squared_distance(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
-    w = Window.partitionBy(key).orderBy("d2", "cell_id")
-    return (near.withColumn("safe_d2", safe * safe)
-            .join(site, ["row", "col"])
-            .withColumn("d2", d2)
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(key, "cell_id", "d2", "safe_d2", "rank"))
+    return nearest(points, cells.select("cell_id", "lon", "lat"), k, key, "cell_id")
 
 
 def nearest_cell_series(points: DataFrame, cells: DataFrame, grid: DataFrame, spec: GridSpec,

@@ -34,8 +34,8 @@ def _cols_of(spec, x_lo, x_hi):
     return F.when(lo <= hi, F.sequence(lo, hi))
 
 
-def cells_in_polygons(edges: DataFrame, spec: GridSpec) -> DataFrame:
-    """(cell_id, row, col, lon, lat) of the centres inside the union of all parts.
+def cells_in_polygons(edges: DataFrame, spec: GridSpec, exclude: DataFrame | None = None) -> DataFrame:
+    """(cell_id, row, col, lon, lat) of the centres inside the union of all parts, without those of `exclude` (cell_id).
 
     Centres on the boundary of a part are not inside that part.
     """
@@ -68,9 +68,10 @@ def cells_in_polygons(edges: DataFrame, spec: GridSpec) -> DataFrame:
 
     cells = (inside.join(border, ["poly_id", "row", "col"], "left_anti")
              .select("row", "col").distinct())
-    return cells.select((F.col("row").cast("bigint") * spec.n_cols + F.col("col")).alias("cell_id"),
-                        "row", "col", _col_lon(spec, F.col("col")).alias("lon"),
-                        _row_lat(spec, F.col("row")).alias("lat"))
+    cells = cells.select((F.col("row").cast("bigint") * spec.n_cols + F.col("col")).alias("cell_id"),
+                         "row", "col", _col_lon(spec, F.col("col")).alias("lon"),
+                         _row_lat(spec, F.col("row")).alias("lat"))
+    return cells if exclude is None else cells.join(exclude.select("cell_id"), "cell_id", "left_anti")
 
 
 def surface_grid_spec(box, n_x_cells: int) -> GridSpec:

@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.operators.nearest import has_position, nearest
 from panelspark.operators.skew import attach, spread
+from panelspark.session import cut_lineage
 
 BLOCK = 256
 
@@ -106,16 +108,60 @@ def _n_blocks(entities: DataFrame, block: int = BLOCK) -> int:
     return max(1, math.ceil(entities.count() / block))
 
 
-def farthest(points: DataFrame, entity="entity_id", block: int = BLOCK) -> DataFrame:
-    """(entity, d_max): distance to the farthest other point, in degrees."""
-    pts = points.select(F.col(entity).alias("id"), "lon", "lat")
-
-    def compare(t, c):
-        d = _distances(t[["lon", "lat"]].to_numpy(), c[["lon", "lat"]].to_numpy())
-        return pd.DataFrame({"id": t["id"], "d_max": d.max(1)})
-
-    part = _pairwise(pts, pts, _n_blocks(pts, block), "id", compare, "id string, d_max double")
-    return part.groupBy("id").agg(F.max("d_max").alias("d_max")).withColumnRenamed("id", entity)
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, by a chain from left to right and back."""
+    xy = np.unique(xy, axis=0)
+    if len(xy) < 3:
+        return xy
+    sides = []
+    for ordered in (xy, xy[::-1]):
+        chain: list = []
+        for p in ordered:
+            while len(chain) > 1 and ((chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1])
+                                      - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])) <= 0:
+                chain.pop()
+            chain.append(p)
+        sides.append(chain[:-1])
+    return np.array(sides[0] + sides[1])
+
+
+def hull(points: DataFrame) -> DataFrame:
+    """(lon, lat): corners of the convex hull, first of every partition, then of all of those."""
+    def corners(batches):
+        found = np.zeros((0, 2))
+        for pdf in batches:
+            found = _hull(np.concatenate([found, pdf[["lon", "lat"]].to_numpy(float)]))
+        yield pd.DataFrame(found, columns=["lon", "lat"])
+
+    schema = "lon double, lat double"
+    some = points.filter(has_position()).select("lon", "lat").mapInPandas(corners, schema)
+    return some.repartition(1).mapInPandas(corners, schema)
+
+
+def farthest(points: DataFrame, entity="entity_id", block: int = 65536) -> DataFrame:
+    """(entity, d_max): distance to the farthest other point, in degrees; NULL without a position.
+
+    The farthest point is a corner of the convex hull. Corners are taken `block` at a time.
+    """
+    corners = cut_lineage(hull(points), "hull").withColumn("_b", F.floor(F.monotonically_increasing_id() / block))
+    out = points.select(F.col(entity), F.when(has_position(), F.col("lon")).alias("lon"), F.when(has_position(), F.col("lat")).alias("lat"))
+    found = None
+    for b in [r[0] for r in corners.select("_b").distinct().collect()]:
+        xy = corners.filter(F.col("_b") == b).select("lon", "lat").toPandas().to_numpy(float)
+
+        def run(batches, xy=xy):
+            for pdf in batches:
+                at = pdf[["lon", "lat"]].to_numpy(float)
+                best = np.full(len(at), np.nan)
+                for i in range(0, len(at), BLOCK):
+                    best[i:i + BLOCK] = _distances(at[i:i + BLOCK], xy).max(1)
+                yield pd.DataFrame({entity: pdf[entity], "d_max": pd.Series(best).astype(object).where(~np.isnan(best), None)})
+
+        part = out.mapInPandas(run, f"{entity} {points.schema[entity].dataType.simpleString()}, d_max double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return out.select(entity, F.lit(None).cast("double").alias("d_max"))
+    return found.groupBy(entity).agg(F.max("d_max").alias("d_max"))
 
 
 def relations(targets: DataFrame, candidates: DataFrame, points: DataFrame,
@@ -125,10 +171,11 @@ def relations(targets: DataFrame, candidates: DataFrame, points: DataFrame,
     """(target, candidate, r, dist_score, score), all candidates or the `top` best per target.
 
     `targets` are observed panels with gaps, `candidates` complete ones. r is the Pearson
-    correlation, dist_score is 1 - d / d_max with the target's farthest candidate at 0.
+    correlation, dist_score is 1 - d / d_max with the target's farthest candidate at 0. Where either
+    point has no position, dist_score and score are NULL.
     """
     rows = comparison_rows(targets, candidates, entity, ts, value, deletion)
-    far = farthest(points, entity, block)
+    far = farthest(points, entity)
     located = points.select(entity, "lon", "lat")
     t = (targets.select(entity).distinct().join(located, entity).join(far, entity)
          .join(_vectors(rows, entity, ts, value), entity, "left").withColumnRenamed(entity, "id"))
@@ -216,17 +263,7 @@ def neighbour_features(chosen: DataFrame, candidates: DataFrame, entity="entity_
             .select(F.col("target").alias(entity), F.col("ts").alias(ts), F.col("_f.v").alias("neighbours")))
 
 
-def nearest_points(points: DataFrame, k: int = 1, entity="entity_id", block: int = BLOCK) -> DataFrame:
-    """(target, candidate, distance, rank): the k nearest other points, ties by candidate."""
-    pts = points.select(F.col(entity).alias("id"), "lon", "lat")
-
-    def compare(a, b):
-        d = _distances(a[["lon", "lat"]].to_numpy(), b[["lon", "lat"]].to_numpy())
-        i, j = np.nonzero(a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
-        out = pd.DataFrame({"target": a["id"].to_numpy()[i], "candidate": b["id"].to_numpy()[j], "distance": d[i, j]})
-        return out.sort_values(["target", "distance", "candidate"]).groupby("target", sort=False).head(k)
-
-    best = _pairwise(pts, pts, _n_blocks(pts, block), "id", compare,
-                     "target string, candidate string, distance double")
-    w = Window.partitionBy("target").orderBy("distance", "candidate")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def nearest_points(points: DataFrame, k: int = 1, entity="entity_id") -> DataFrame:
+    """(target, candidate, distance, rank): the k nearest other points, ties by candidate; points without a position drop out."""
+    sites = points.select(F.col(entity).alias("candidate"), "lon", "lat")
+    return nearest(points.select(F.col(entity).alias("target"), "lon", "lat"), sites, k, "target", "candidate", others_only=True)

@@ -68,7 +68,7 @@ def filter_range(curve: DataFrame, start, end, value: str = "storage_change") ->
     lo = F.greatest(F.lit(start).cast("date"), curve.agg(F.min("ts")).scalar())
     hi = F.least(F.lit(end).cast("date"), curve.agg(F.max("ts")).scalar())
     valid = F.when(lo < hi, lo).otherwise(
-        F.raise_error(F.lit("the start date must be before the end date")).cast("date"))
+        F.raise_error(F.lit("nothing is left of the curve: check the start date of the range")).cast("date"))
     kept = curve.filter(F.col("ts").between(valid, hi))
     first = kept.agg(F.min_by(value, "ts")).scalar()
     return kept.withColumn(value, F.col(value) - first)

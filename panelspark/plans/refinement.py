@@ -43,8 +43,8 @@ def refine_once(panel: DataFrame, data: DataFrame, points: DataFrame, config: Ru
 
 
 def iterative_refinement(panel: DataFrame, data: DataFrame, points: DataFrame,
-                         config: RunConfig = RunConfig(), on_iteration=None) -> list[dict[str, DataFrame]]:
-    """One result per iteration.
+                         config: RunConfig = RunConfig(), on_iteration=None, done=()) -> list[dict[str, DataFrame]]:
+    """One result per iteration; the filled series of those `done` already are given and not computed again.
 
     With `chain` an iteration takes the previous one's filled series as candidates, otherwise
     every iteration starts from the same input. A series whose fit failed keeps its previous
@@ -53,15 +53,22 @@ def iterative_refinement(panel: DataFrame, data: DataFrame, points: DataFrame,
     """
     located = points.join(data.select("entity_id").distinct(), "entity_id", "left_semi")
     results, current = [], data.select("entity_id", "ts", "value")
-    for i in range(1, config.n_iterations + 1):
+
+    def feed(i, filled):
+        new = filled.select("entity_id", "ts", "value")
+        kept = current.join(new.select("entity_id").distinct(), "entity_id", "left_anti")
+        return cut_lineage(new.unionByName(kept), f"candidates-{i}") if config.chain else current
+
+    for i, filled in enumerate(done, 1):
+        results.append({"data": filled})
+        current = feed(i, filled)
+    for i in range(len(done) + 1, config.n_iterations + 1):
         source = despike(current, config.despike_window) if config.despike_window else current
         out = refine_once(panel, source, located, replace(config, seed=config.seed + i))
         out["data"] = cut_lineage(out["data"], f"refined-{i}")
+        out["locations"] = located.join(out["predictions"].select("entity_id").distinct(), "entity_id", "left_semi")
         if on_iteration:
             on_iteration(i, out)
         results.append(out)
-        if config.chain:
-            new = out["data"].select("entity_id", "ts", "value")
-            kept = current.join(new.select("entity_id").distinct(), "entity_id", "left_anti")
-            current = cut_lineage(new.unionByName(kept), f"candidates-{i}")
+        current = feed(i, out["data"])
     return results

@@ -1,6 +1,6 @@
 """The whole chain from raw readings to the storage curve, resumable by stage."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +42,10 @@ def clean_stage(spark: SparkSession, inputs: Inputs, config: RunConfig, director
     raw = raw_tables(inputs.readings, inputs.locations)
     readings = _stage(spark, directory, "timeseries_raw", lambda: raw["timeseries_raw"])
     places = _stage(spark, directory, "locations_raw", lambda: raw["locations_raw"])
-    panel = _stage(spark, directory, "timeseries", lambda: clean_panel(
+    panel = _stage(spark, directory, f"timeseries-{config.key('pad_days')}", lambda: clean_panel(
         require_unique(readings), config.start, config.end, config.max_std, config.min_months,
         config.gap_days, config.pad_days), sort_by=["entity_id", "ts"])
-    located = _stage(spark, directory, "locations", lambda: keep_located(places, panel))
+    located = _stage(spark, directory, f"locations-{config.key('pad_days')}", lambda: keep_located(places, panel))
     return {"timeseries_raw": readings, "locations_raw": places, "timeseries": panel, "locations": located}
 
 
@@ -62,7 +62,10 @@ def crop_stage(spark, inputs: Inputs, directory, name, table, spec, variables):
 
 def run(spark: SparkSession, inputs: Inputs, directory: str, config: RunConfig = RunConfig(),
         land_variables=None) -> dict[str, DataFrame]:
-    """All stages in order. A rerun with the same directory continues after the last complete one."""
+    """All stages in order. A rerun with the same directory continues after the last complete one.
+
+    A stage's name carries a fingerprint of the parameters it depends on, so a changed configuration makes stages of its own.
+    """
     from panelspark.config import FEATURE_VARIABLES
     land_variables = list(land_variables or FEATURE_VARIABLES)
     out = clean_stage(spark, inputs, config, directory)
@@ -71,30 +74,38 @@ def run(spark: SparkSession, inputs: Inputs, directory: str, config: RunConfig =
                          list(inputs.drought_spec.variables))
     land = crop_stage(spark, inputs, directory, "land", inputs.land, inputs.land_spec, land_variables)
 
-    if not stage_exists(spark, directory, "imputed"):
+    done = config.key("estimator")
+    if not stage_exists(spark, directory, f"imputed-{done}"):
         first = satellite_imputation(panel, points, drought, land, config,
                                      inputs.drought_spec.variables, land_variables)
         for name in ("metrics", "runs", "spread", "status", "history", "predictions"):
-            write_stage(first[name], directory, f"imputed_{name}")
-        write_stage(first["data"], directory, "imputed")
-    data = read_stage(spark, directory, "imputed")
-
-    last = f"refined_{config.n_iterations}"
-    if not stage_exists(spark, directory, last):
+            write_stage(first[name], directory, f"imputed_{name}-{done}")
+        write_stage(first["data"], directory, f"imputed-{done}")
+    data = read_stage(spark, directory, f"imputed-{done}")
+
+    # rounds don't depend on their number: a rerun goes on with the first one that is missing
+    done = replace(config, n_iterations=1).key("despike_window")
+    stage = lambda i, name="": f"refined_{i}{name}-{done}"
+    have = 0
+    while have < config.n_iterations and stage_exists(spark, directory, stage(have + 1)):
+        have += 1
+    if have < config.n_iterations:
         def keep(i, result):
-            for name in ("metrics", "correlations", "status"):
-                write_stage(result[name], directory, f"refined_{i}_{name}")
-            write_stage(result["data"], directory, f"refined_{i}")
-        iterative_refinement(panel, data, points, config, on_iteration=keep)
-    refined = read_stage(spark, directory, last)
-
-    if not stage_exists(spark, directory, "raster"):
-        cells, _ = surface_grid(spark, inputs.edges, config.n_x_cells)
+            for name in ("metrics", "correlations", "status", "predictions", "locations"):
+                write_stage(result[name], directory, stage(i, f"_{name}"))
+            write_stage(result["data"], directory, stage(i))
+        earlier = [read_stage(spark, directory, stage(i)) for i in range(1, have + 1)]
+        iterative_refinement(panel, data, points, config, on_iteration=keep, done=earlier)
+    refined = read_stage(spark, directory, stage(config.n_iterations))
+
+    cells, spec = surface_grid(spark, inputs.edges, config.n_x_cells)
+    raster = f"raster-{config.key('monthly_step')}"
+    if not stage_exists(spark, directory, raster):
         write_raster(krige_panel(refined.select("entity_id", "ts", "value"), points, cells, config.influence,
-                                 config.stable_alpha, config.monthly_step), directory, "raster")
-    raster = read_raster(spark, directory, "raster")
-    curve = _stage(spark, directory, "storage", lambda: storage_curve(
-        raster, config.storage_coefficient, config.date_filter))
+                                 config.stable_alpha, config.monthly_step), directory, raster)
+    raster = read_raster(spark, directory, raster)
+    curve = _stage(spark, directory, f"storage-{config.key()}", lambda: storage_curve(
+        raster, config.storage_coefficient, config.date_filter, spec.res_x, spec.res_y))
     write_curve(curve, f"{directory}/storage_csv")
     out.update(imputed=data, refined=refined, raster=raster, storage=curve)
     return out

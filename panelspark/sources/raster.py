@@ -1,5 +1,6 @@
 """Raster and curve files."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.dates import cf_date, cf_days
@@ -20,8 +21,13 @@ def write_raster(raster: DataFrame, directory: str, name: str) -> str:
 
 
 def read_raster(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """(ts, row, col, lon, lat, value) with decoded time; fill values are NULL."""
-    df = read_stage(spark, directory, name)
+    """(ts, row, col, lon, lat, value) with decoded time; fill values are NULL. A raster without rows has no files."""
+    try:
+        df = read_stage(spark, directory, name)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        df = spark.createDataFrame([], "row int, col int, lon double, lat double, value double, time double")
     if "time" not in df.columns:
         raise ValueError("raster has no time dimension")
     ok = (F.col("value") != FILL_VALUE) & ~F.isnan("value")

@@ -106,9 +106,10 @@ def to_long(wide: DataFrame, entities, entity="entity_id", ts="ts", value="value
 # --- stage tables ---------------------------------------------------------------------
 
 def write_stage(df: DataFrame, directory: str, name: str, partition_by=None, sort_by=None) -> str:
+    """Write a stage table. With `sort_by`, files hold ranges of its first column, so readers can skip files and row groups."""
     path = f"{directory}/{name}"
     if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
+        df = df.repartitionByRange(sort_by[0]).sortWithinPartitions(*sort_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -132,6 +133,10 @@ def stage_exists(spark: SparkSession, directory: str, name: str) -> bool:
 
 
 def read_cells(spark: SparkSession, directory: str, name: str, cells: DataFrame, variables) -> DataFrame:
-    """Chosen cells and variables of a stage grid: only those columns are read."""
+    """Chosen cells and variables of a stage grid: only those columns, and only row groups in the cells' range, are read."""
     grid = read_stage(spark, directory, name, ["cell_id", "ts", *variables])
-    return grid.join(cells.select("cell_id"), "cell_id", "left_semi")
+    wanted = cells.select("cell_id")
+    low, high = wanted.agg(F.min("cell_id"), F.max("cell_id")).first()
+    if low is None:
+        return grid.limit(0)
+    return grid.filter(F.col("cell_id").between(low, high)).join(wanted, "cell_id", "left_semi")

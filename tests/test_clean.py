@@ -161,3 +161,32 @@ def test_every_kth_time(spark):
     rows = [(e, f"2000-{m:02d}-01", 1.0) for e in "ab" for m in range(1, 8)]
     got = {r.ts.month for r in timeline.every_kth_time(panel(spark, rows), 3).collect()}
     assert got == {1, 4, 7}
+
+
+def test_gaps_shorter_than_a_slot(spark):
+    import datetime as dt
+    days = [dt.date(2000, 1, 1), dt.date(2000, 1, 3), dt.date(2000, 1, 20), dt.date(2000, 1, 21), dt.date(2000, 3, 1)]
+    panel = spark.createDataFrame([("a", d, 1.0) for d in days], "entity_id string, ts date, value double")
+    got = {(r.gap_start, r.gap_days) for r in clean.gaps(panel, 10).collect()}
+    assert got == {(days[1], 17), (days[3], 40)}
+    assert clean.gaps(panel, 40).count() == 0
+
+
+def test_calendar_steps(spark):
+    import datetime as dt
+    from panelspark.operators import timeline
+    day = lambda step: [r.ts for r in timeline.calendar(spark, "2020-01-02", "2020-07-15", step).orderBy("ts").collect()]
+    assert day("week")[:2] == [dt.date(2020, 1, 6), dt.date(2020, 1, 13)] and day("week")[-1] == dt.date(2020, 7, 13)
+    assert day("quarter") == [dt.date(2020, 4, 1), dt.date(2020, 7, 1)]
+    assert day("year") == []
+
+
+def test_cells_are_read_by_range(spark, tmp_path):
+    from panelspark.sources import tables
+    rows = spark.range(5000).selectExpr("id AS cell_id", "date'2000-01-01' AS ts", "CAST(id AS DOUBLE) AS a", "1.0D AS b")
+    tables.write_stage(rows, str(tmp_path), "g", sort_by=["cell_id", "ts"])
+    got = tables.read_cells(spark, str(tmp_path), "g", spark.createDataFrame([(7,), (9,)], "cell_id long"), ["a"])
+    assert sorted(r.a for r in got.collect()) == [7.0, 9.0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(cell_id,7)" in plan and "LessThanOrEqual(cell_id,9)" in plan and "b#" not in plan.split("ReadSchema")[1]
+    assert tables.read_cells(spark, str(tmp_path), "g", spark.createDataFrame([], "cell_id long"), ["a"]).count() == 0

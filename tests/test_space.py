@@ -201,3 +201,56 @@ def test_config_checks():
 def test_scratch_follows_the_session(spark):
     assert scratch_dir(spark) == scratch_dir(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_nearest_on_sparse_and_odd_sets(spark):
+    """One cell on a large grid, points far away, clusters and points without a position."""
+    from panelspark.config import LAND_SURFACE
+    from panelspark.operators import nearest
+    one = grid.create_grid(spark, LAND_SURFACE).filter("cell_id = 123456")
+    pts = spark.range(10000).selectExpr("CAST(id AS STRING) AS entity_id", "CAST(id % 360 - 180 AS DOUBLE) AS lon", "CAST(id % 180 - 90 AS DOUBLE) AS lat")
+    got = grid.nearest_cells(pts, one, LAND_SURFACE, k=2)
+    assert got.count() == 10000 and got.select("cell_id", "rank").distinct().count() == 1
+    assert grid.nearest_cells(pts, one.limit(0), LAND_SURFACE).count() == 0
+    rng = np.random.default_rng(6)
+    xy = np.vstack([rng.normal(0, 1e-4, (300, 2)), rng.uniform(-50, 50, (100, 2)), np.full((5, 2), 7.0)])
+    sites = spark.createDataFrame([(f"s{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "site string, lon double, lat double")
+    ask = [("a", 0.0, 0.0), ("b", 200.0, -80.0), ("c", 7.0, 7.0), ("d", None, 1.0), ("e", 1.0, float("nan"))]
+    points = spark.createDataFrame(ask, "entity_id string, lon double, lat double")
+    got = nearest.nearest(points, sites, k=4).toPandas()
+    assert set(got.entity_id) == {"a", "b", "c"}
+    for name, x, y in ask[:3]:
+        d = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        want = np.lexsort((np.arange(len(d)), d))[:4]
+        mine = got[got.entity_id == name].sort_values("rank")
+        assert list(mine.site) == [f"s{i:03d}" for i in want] and np.allclose(mine.distance, d[want])
+    assert {r.entity_id for r in nearest.without_position(points).collect()} == {"d", "e"}
+
+
+def test_farthest_and_nearest_points_skip_blank_positions(spark):
+    from panelspark.operators import relate
+    rng = np.random.default_rng(8)
+    xy = rng.normal(size=(200, 2))
+    rows = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("blank", None, 0.5)]
+    pts = spark.createDataFrame(rows, "entity_id string, lon double, lat double")
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    far = {r.entity_id: r.d_max for r in relate.farthest(pts, block=3).collect()}
+    assert far.pop("blank") is None and all(np.isclose(far[f"p{i}"], d[i].max()) for i in range(200))
+    near = relate.nearest_points(pts, 3).toPandas()
+    assert set(near.target) == set(far) and "blank" not in set(near.candidate)
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, 200, 17):
+        mine = near[near.target == f"p{i}"].sort_values("rank")
+        assert np.allclose(mine.distance, np.sort(d[i])[:3])
+
+
+def test_polygon_cells_with_exclusion(spark):
+    from panelspark.config import GridSpec
+    from panelspark.operators import polygon
+    spec = GridSpec(0.0, 0.0, 9.0, 9.0, 1.0, 1.0)
+    edges = spark.createDataFrame([(0, 0, 0, 0.5, 0.5, 5.5, 0.5), (0, 0, 1, 5.5, 0.5, 5.5, 5.5), (0, 0, 2, 5.5, 5.5, 0.5, 5.5), (0, 0, 3, 0.5, 5.5, 0.5, 0.5)],
+                                  "poly_id int, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double")
+    every = {r.cell_id for r in polygon.cells_in_polygons(edges, spec).collect()}
+    taken = spark.createDataFrame([(c,) for c in sorted(every)[:3]], "cell_id long")
+    rest = {r.cell_id for r in polygon.cells_in_polygons(edges, spec, exclude=taken).collect()}
+    assert len(every) == 25 and rest == set(sorted(every)[3:])
