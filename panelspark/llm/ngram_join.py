@@ -362,19 +362,27 @@ def verified(near: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """v, comp: the least vertex that each linked vertex reaches. Labels spread to neighbours and jump to their label's label."""
-    both = links.select(F.col("r1").alias("v"), F.col("r2").alias("w")).union(links.select(F.col("r2").alias("v"), F.col("r1").alias("w")))
-    both = cut_lineage(both.distinct(), "edges")
-    state = cut_lineage(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp")).select("v", "comp"), "labels")
-    for _ in range(rounds):
-        heard = (both.join(state.select(F.col("v").alias("w"), "comp"), "w").groupBy("v").agg(F.min("comp").alias("near")))
-        told = state.join(heard, "v").select("v", F.least("comp", "near").alias("next"), "comp")
-        jump = told.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        new = cut_lineage(told.join(jump, "next", "left").select("v", F.least("next", F.coalesce("far", "next")).alias("comp"),
-                                                                  (F.least("next", F.coalesce("far", "next")) < F.col("comp")).alias("moved")), "labels")
-        state = new.select("v", "comp")
-        if not new.filter("moved").limit(1).count():
-            return state
+    """v, comp: the least vertex that each linked vertex reaches.
+
+    Each round every vertex joins the neighbour, or stays, that comes first in a random order of the round; links between
+    what is left are few soon, whatever the links' shape. Labels follow the merges.
+    """
+    ends = lambda r, v, w: r.select(F.col(v).alias("v"), F.col(w).alias("w"))
+    edges = cut_lineage(ends(links, "r1", "r2").union(ends(links, "r2", "r1")).distinct(), "edges")
+    state = None
+    for i in range(rounds):
+        lot = lambda c: F.xxhash64(F.col(c), F.lit(i))
+        best = edges.groupBy("v").agg(F.min(F.struct(lot("w").alias("lot"), F.col("w").alias("w"))).alias("best"))
+        merge = cut_lineage(best.select("v", F.when(F.col("best.lot") < lot("v"), F.col("best.w")).otherwise(F.col("v")).alias("m")), "merges")
+        into = merge.select(F.col("v").alias("c"), F.col("m").alias("next"))
+        state = cut_lineage(merge.select("v", F.col("m").alias("c")) if state is None else
+                            state.join(into, "c", "left").select("v", F.coalesce("next", "c").alias("c")), "labels")
+        edges = (edges.join(merge.withColumnRenamed("m", "a"), "v")
+                 .join(merge.select(F.col("v").alias("w"), F.col("m").alias("b")), "w").filter("a <> b"))
+        edges = cut_lineage(ends(edges, "a", "b").distinct(), "edges")
+        if not edges.limit(1).count():
+            least = state.groupBy("c").agg(F.min("v").alias("comp"))
+            return cut_lineage(state.join(least, "c").select("v", "comp"), "components")
     raise RuntimeError(f"components of the links didn't settle in {rounds} rounds")
 
 
@@ -422,4 +430,5 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the least of its component, with their columns; rows with a null id stay."""
     gone = cut_lineage(link(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    # a merge join at any size: its shuffle grows with the input
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
