@@ -60,7 +60,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = groups.filter("NOT kept").select(F.col("doc_id").alias("__gone"))
     again = (groups.filter("kept").groupBy("doc_id").count().filter("count > 1")
              .select(F.col("doc_id").alias("__again")))
-    rows = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    # a merge join at any size: its shuffle grows with the input
+    rows = docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    if not again.limit(1).count():
+        return rows
     twice = F.col(f"`{id_col}`").eqNullSafe(F.col("__again"))
     return rows.join(again, twice, "left_anti").unionByName(
         rows.join(again, twice, "left_semi").dropDuplicates([id_col, text_col]))
