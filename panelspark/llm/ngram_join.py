@@ -14,6 +14,7 @@ of classes that hot keys connect. Candidates pass a folded sketch (Hamming dista
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,7 +269,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(shared):
     """Shingle sets of the texts whose ids the filter lets pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = (b.filter(pa.array(passes(shared.value, b.column("rep").to_numpy()))) for b in batches)
+        bitmap = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        wanted = (b.filter(pa.array(passes(bitmap, b.column("rep").to_numpy()))) for b in batches)
         for batch, raw, offsets in steps(wanted, "text"):
             value, at = shingles(raw, offsets)
             data, cut = value.tobytes(), (8 * at).tolist()
@@ -351,8 +353,8 @@ def _compared(_key, group):
 def verified(near: DataFrame, rows: DataFrame) -> DataFrame:
     """r1, r2: those of the candidates whose sets are similar, as a written table."""
     near = cut_lineage(near, "near")
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(
-        near.select(F.explode(F.array("r1", "r2")).alias("rep")), "rep"))  # of fixed size
+    bitmap = id_filter(near.select(F.explode(F.array("r1", "r2")).alias("rep")), "rep")
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(bitmap, 1))  # of bounded size
     texts = rows.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
     sets = cut_lineage(texts.mapInArrow(_sets(shared), "rep long, shingles binary"), "sets")
     return cut_lineage(
