@@ -239,18 +239,39 @@ def m13(spark, sf):
     return rounded(out.join(panel.select("entity_id", "ts"), ["entity_id", "ts"], "left_semi"), 4)
 
 
-@query("M13_full_surfaces")
+# kriging in SQL: each time has a bordered system, solved by elimination without exchange of rows
+KRIGING = {
+    "sites": "SELECT *, row_number() OVER (PARTITION BY ts ORDER BY lon, lat) AS i, count(*) OVER (PARTITION BY ts) AS n FROM (SELECT ts, lon, lat, avg(value) AS v FROM seen JOIN npts USING (entity_id) GROUP BY ts, lon, lat)",
+    "wide": "SELECT ts, 0.125e0 * sqrt((max(lon) - min(lon)) * (max(lon) - min(lon)) + (max(lat) - min(lat)) * (max(lat) - min(lat))) AS s FROM sites GROUP BY ts",
+    "lines": """SELECT a.ts, a.i, a.n, list_concat(list(exp(-pow(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) / s, 1.5e0)) ORDER BY b.i), [1e0, a.v]) AS line
+        FROM sites a JOIN sites b USING (ts) JOIN wide USING (ts) GROUP BY a.ts, a.i, a.n, a.v
+        UNION ALL SELECT ts, n + 1, n, list_concat(list_transform(range(n), lambda x: 1e0), [0e0, 0e0]) FROM (SELECT DISTINCT ts, n FROM sites)""",
+    "start": "SELECT ts, CAST(n + 1 AS BIGINT) AS size, list(line ORDER BY i) AS m FROM lines GROUP BY ts, n",
+    "steps": """SELECT ts, size, CAST(0 AS BIGINT) AS k, m FROM start UNION ALL
+        SELECT ts, size, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN prow ELSE list_transform(line, lambda x, j: x - line[k + 1] * prow[j]) END)
+        FROM (SELECT *, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS prow FROM steps WHERE k < size)""",
+    "solved": "SELECT ts, size, list_transform(m, lambda line: line[size + 1]) AS beta FROM steps WHERE k = size",
+    "field": """SELECT c.cell_id, p.ts, any_value(beta[size]) + sum(beta[i] * exp(-pow(sqrt((c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat)) / s, 1.5e0))) AS value
+        FROM sites p JOIN solved USING (ts) JOIN wide USING (ts) CROSS JOIN g c GROUP BY 1, 2""",
+}
+
+
+def kriging_sql(seen, *names):
+    return with_(*names, "npts", g=grid_sql(COARSE), seen=seen, **KRIGING).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f"SELECT cell_id, ts, {R('value', 3)} AS value FROM field")
+
+
+@query("M13_full_surfaces", kriging_sql("SELECT * FROM pb", "pb"))
 def m13b(spark, sf):
-    cells, _ = polygon.surface_grid(spark, diamond_edges(spark, sf), 100)
-    return surface.surfaces(pb_monthly(spark, sf), nation_points(spark, sf), cells)
+    out = surface.surfaces(pb_monthly(spark, sf), nation_points(spark, sf), grids.create_grid(spark, COARSE))
+    return rounded(out.select("cell_id", "ts", "value"), 3)
 
 
-@query("M14_krige_panel", with_("pb", "pbc") + f"""SELECT entity_id, ts, {R('value', 4)} AS value FROM (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS i FROM pbc)
-    WHERE entity_id <> 'NATION_3' AND i % 3 = 0""")
+@query("M14_krige_panel", kriging_sql("""SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS t FROM pbc
+    WHERE entity_id IN (SELECT entity_id FROM pbc GROUP BY 1 HAVING count(value) = (SELECT count(DISTINCT ts) FROM pbc))) WHERE t % 3 = 0""", "pb", "pbc"))
 def m14(spark, sf):
-    out = surface.krige_panel(pb_candidates(spark, sf), nation_points(spark, sf), point_cells(spark, sf), monthly_step=3)
-    names = F.concat(F.lit("NATION_"), F.col("cell_id").cast("string"))
-    return rounded(out.select(names.alias("entity_id"), "ts", "value").filter("entity_id <> 'NATION_3'"), 4)
+    out = surface.krige_panel(pb_candidates(spark, sf), nation_points(spark, sf), grids.create_grid(spark, COARSE), monthly_step=3)
+    return rounded(out.select("cell_id", "ts", "value"), 3)
 
 
 # --- everything -----------------------------------------------------------------------------

@@ -1,122 +1,174 @@
-"""Dual kriging coefficients for more points than one task can solve.
+"""Dual kriging coefficients for any number of points, block by block.
 
-Conjugate gradients over a table with one row per (part, position) and one array entry per
-month, plus one entry for the unit vector that fixes the mean level. The covariance matrix is
-never stored: every iteration multiplies it by the search directions block by block, with each
-(part, target block, source block) a task of its own, and writes the new state as a table.
+A part that fits into a block is one dense solve. Larger ones take conjugate gradients over a table with one row per (part, position) and one array entry per month, plus one entry for the unit
+vector that fixes the mean level. The covariance matrix is never stored: an iteration multiplies it by the search directions with
+one task for each pair of blocks. The preconditioner solves overlapping spatial blocks exactly and adds their solutions, so a
+part that fits into one block is solved in the first step. Every entry has its own relative residual.
 """
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.operators.skew import spread
-from panelspark.operators.surface import covariance
-from panelspark.session import cut_lineage, new_path
+from panelspark.session import cut_lineage
 
-BLOCK = 1000
-TOLERANCE = 1e-10
-MAX_ITERATIONS = 2000
+BLOCK = 800        # positions of a block, about
+OVERLAP = 0.3      # by which a block is wider and higher than its own positions
+TOLERANCE = 1e-10  # residual against the right side, by entry
+MAX_ITERATIONS = 500
 
 
-def _dot(a: str, b: str):
-    """Entry-wise products of two array columns."""
-    return F.zip_with(a, b, lambda x, y: x * y)
+def covariance(a: np.ndarray, b: np.ndarray, scale: float, alpha: float) -> np.ndarray:
+    """Stable covariance exp(-(h / scale)^alpha) with unit sill."""
+    d = a[:, None, :] - b[None, :, :]
+    h = np.sqrt((d * d).sum(-1))
+    return np.exp(-((h / scale) ** alpha)) if scale > 0 else (h == 0).astype(float)
 
 
-def _column_sums(state: DataFrame, **products) -> DataFrame:
-    """Per part, arrays of the column sums of the named array expressions."""
-    names = list(products)
-    wide = state.select("part", F.posexplode(F.arrays_zip(*[products[n].alias(n) for n in names])).alias("pos", "v"))
-    sums = wide.groupBy("part", "pos").agg(*[F.sum(F.col(f"v.{n}")).alias(n) for n in names])
-    rows = F.sort_array(F.collect_list(F.struct("pos", *names)))
-    return sums.groupBy("part").agg(rows.alias("_c")).select(
-        "part", *[F.col(f"_c.{n}").alias(n) for n in names])
+def with_blocks(sites: DataFrame, block: int) -> DataFrame:
+    """Adds the block of each position: strips of equal counts by longitude, cut into equal counts by latitude."""
+    side = F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy("part")) / block)).cast("int")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("part", *by[0]).orderBy(*by[1])) - 1
+    size = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("part", *by))
+    out = sites.withColumn("_side", side)
+    out = out.withColumn("_strip", F.floor(rank((), ("lon", "lat")) * F.col("_side") / size()))
+    out = out.withColumn("_cut", F.floor(rank(("_strip",), ("lat", "lon")) * F.col("_side") / size("_strip")))
+    return out.withColumn("block", (F.col("_strip") * F.col("_side") + F.col("_cut")).cast("int")).drop("_side", "_strip", "_cut")
+
 
+def _summed(rows: DataFrame, name: str) -> DataFrame:
+    """(part, site, name): sums of the arrays of each site, entry by entry, in the JVM."""
+    wide = rows.select("part", "site", F.posexplode(name).alias("pos", "v")).groupBy("part", "site", "pos").agg(F.sum("v").alias("v"))
+    return (wide.groupBy("part", "site").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_a"))
+            .select("part", "site", F.col("_a.v").alias(name)))
 
-def _times_covariance(state: DataFrame, n_blocks: int, alpha: float) -> DataFrame:
-    """(part, site, q): covariance matrix times the column p."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = state.select(F.col("part").alias("part"), "scale", "site", "lon", "lat", F.col("block").alias("tb"),
-                        blocks.alias("sb"))
-    right = state.select(F.col("part").alias("part"), F.col("lon").alias("x"), F.col("lat").alias("y"),
-                         F.col("p").alias("p"), F.col("block").alias("sb"), blocks.alias("tb"))
+
+def _times_covariance(state: DataFrame, alpha: float) -> DataFrame:
+    """(part, site, q): covariance matrix times the column p; a task for each pair of blocks."""
+    blocks = state.select("part", "block").distinct()
+    left = (state.select("part", "site", "lon", "lat", "scale", F.col("block").alias("tb"))
+            .join(blocks.withColumnRenamed("block", "sb"), "part"))
+    right = (state.select("part", F.col("lon").alias("x"), F.col("lat").alias("y"), "p", F.col("block").alias("sb"))
+             .join(blocks.withColumnRenamed("block", "tb"), "part"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh column ids: both sides come from one table
 
     def run(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if t.empty or s.empty:
-            return pd.DataFrame({"part": [], "tb": [], "site": [], "q": []}, dtype=object)
+            return pd.DataFrame({"part": [], "site": [], "q": []}, dtype=object)
         k = covariance(t[["lon", "lat"]].to_numpy(float), s[["x", "y"]].to_numpy(float), t["scale"].iloc[0], alpha)
-        return pd.DataFrame({"part": t["part"], "tb": t["tb"], "site": t["site"], "q": list(k @ np.stack(s["p"].to_list()))})
+        return pd.DataFrame({"part": t["part"], "site": t["site"], "q": list(k @ np.stack(s["p"].to_list()))})
 
     partial = (spread(left, "part", "tb", "sb").groupBy("part", "tb", "sb").cogroup(right.groupBy("part", "tb", "sb"))
-               .applyInPandas(run, "part string, tb int, site bigint, q array<double>"))
+               .applyInPandas(run, "part string, site bigint, q array<double>"))
+    return _summed(partial, "q")
+
+
+def _members(state: DataFrame) -> DataFrame:
+    """(part, site, own block, lon, lat, scale): the positions in each block's widened box."""
+    box = state.groupBy("part", "block").agg(*[f(c).alias(n) for n, f, c in (
+        ("x0", F.min, "lon"), ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat"))])
+    dx, dy = (F.col("x1") - F.col("x0")) * (OVERLAP / 2), (F.col("y1") - F.col("y0")) * (OVERLAP / 2)
+    box = box.select("part", F.col("block").alias("own"), (F.col("x0") - dx).alias("x0"), (F.col("x1") + dx).alias("x1"),
+                     (F.col("y0") - dy).alias("y0"), (F.col("y1") + dy).alias("y1"))
+    near = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
+    return state.select("part", "site", "lon", "lat", "scale").join(box, "part").filter(near).drop("x0", "x1", "y0", "y1")
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        site, row = np.unique(pdf["site"].to_numpy(), return_inverse=True)
-        q = np.zeros((len(site), len(pdf["q"].iloc[0])))
-        np.add.at(q, row, np.stack(pdf["q"].to_list()))
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "site": site, "q": list(q)})
 
-    return partial.groupBy("part", "tb").applyInPandas(add, "part string, site bigint, q array<double>")
+def _preconditioned(members: DataFrame, state: DataFrame, alpha: float) -> DataFrame:
+    """(part, site, z): the sum of the blocks' exact solutions for the residuals."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["lon", "lat"]].to_numpy(float)
+        z = np.linalg.solve(covariance(xy, xy, pdf["scale"].iloc[0], alpha), np.stack(pdf["r"].to_list()))
+        return pd.DataFrame({"part": pdf["part"], "site": pdf["site"], "z": list(z)})
+
+    rows = members.join(state.select("part", "site", "r"), ["part", "site"])
+    return _summed(spread(rows, "part", "own").groupBy("part", "own").applyInPandas(run, "part string, site bigint, z array<double>"), "z")
+
+
+def _dots(state: DataFrame, **pairs) -> DataFrame:
+    """Per part, arrays of the column sums of products of two array columns."""
+    names = list(pairs)
+    products = F.arrays_zip(*[F.zip_with(a, b, lambda x, y: x * y).alias(n) for n, (a, b) in pairs.items()])
+    wide = state.select("part", F.posexplode(products).alias("pos", "v"))
+    sums = wide.groupBy("part", "pos").agg(*[F.sum(F.col(f"v.{n}")).alias(n) for n in names])
+    rows = F.sort_array(F.collect_list(F.struct("pos", *names)))
+    return sums.groupBy("part").agg(rows.alias("_c")).select("part", *[F.col(f"_c.{n}").alias(n) for n in names])
+
 
+def _plus(u: str, c: str, v: str, sign: float):
+    """u + sign * c * v, entry by entry."""
+    return F.transform(F.arrays_zip(F.col(u).alias("u"), F.col(c).alias("c"), F.col(v).alias("v")), lambda s: s["u"] + sign * s["c"] * s["v"])
 
-def dual_coefficients_blocked(sites: DataFrame, influence: float, alpha: float, block: int = BLOCK,
-                              tolerance: float = TOLERANCE) -> DataFrame:
-    """Same result as the dense solver: (part, lon, lat, scale, days, beta)."""
+
+def _ratio(a: str, b: str):
+    return F.zip_with(a, b, lambda x, y: F.when(y != 0, x / y).otherwise(F.lit(0.0)))
+
+
+def dual_coefficients(sites: DataFrame, influence: float, alpha: float, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
+    """(part, is_level, lon, lat, scale, days, beta); the level row of a part has the mean level of each month.
+
+    A part that fits into one block is solved at once in a task of its own, which is what the iteration would do with it.
+    """
+    n = sites.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+    small = sites.join(n.filter(F.col("_n") <= block).select("part"), "part", "left_semi")
+    large = n.filter(F.col("_n") > block).select("part")
+    done = spread(small, "part").groupBy("part").applyInPandas(_solver(influence, alpha), COEF_SCHEMA)
+    if not large.limit(1).count():
+        return done
+    return done.unionByName(_iterated(sites.join(large, "part", "left_semi"), influence, alpha, block, tolerance))
+
+
+COEF_SCHEMA = "part string, is_level boolean, lon double, lat double, scale double, days array<int>, beta array<double>"
+
+
+def _solver(influence: float, alpha: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["lon", "lat"]].to_numpy(float)
+        scale = float(np.hypot(*np.ptp(xy, axis=0))) * influence
+        k = np.ones((len(xy) + 1,) * 2)
+        k[:-1, :-1], k[-1, -1] = covariance(xy, xy, scale, alpha), 0.0
+        z = np.stack(pdf["vals"].to_list())
+        beta = np.linalg.solve(k, np.vstack([z, np.zeros((1, z.shape[1]))]))
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "is_level": [False] * len(xy) + [True], "lon": [*xy[:, 0], None], "lat": [*xy[:, 1], None],
+                             "scale": scale, "days": [pdf["days"].iloc[0]] * len(beta), "beta": list(beta)})
+    return run
+
+
+def _iterated(sites: DataFrame, influence: float, alpha: float, block: int, tolerance: float) -> DataFrame:
     dx, dy = F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")
-    extent = sites.groupBy("part").agg((F.sqrt(dx * dx + dy * dy) * influence).alias("scale"),
-                                       F.count(F.lit(1)).alias("n"))
-    extent = cut_lineage(extent, "krige-extent")
-    largest = extent.agg(F.max("n")).first()[0]
-    n_blocks = max(1, math.ceil(largest / block))
-    one = F.array(F.lit(1.0))
-    site = F.xxhash64("lon", "lat")
-    state = (sites.join(extent.drop("n"), "part")
-             .withColumn("site", site).withColumn("block", F.pmod(F.xxhash64("site", F.lit(3)), F.lit(n_blocks)).cast("int"))
-             .withColumn("r", F.concat("vals", one)).withColumn("p", F.col("r"))
-             .withColumn("x", F.transform("r", lambda v: F.lit(0.0))).drop("vals"))
-    # two folders in turn: the older state is overwritten once the newer one is complete
-    spark = sites.sparkSession
-    folders = [new_path(spark, "krige-even"), new_path(spark, "krige-odd")]
-    sums_folder = new_path(spark, "krige-sums")
-    state = cut_lineage(state, path=folders[1])
-    goal = None
-    for i in range(MAX_ITERATIONS):
-        q = _times_covariance(state, n_blocks, alpha)
-        state = cut_lineage(state.join(q, ["part", "site"]), path=folders[i % 2])
-        sums = cut_lineage(_column_sums(state, rr=_dot("r", "r"), pq=_dot("p", "q"), rq=_dot("r", "q"), qq=_dot("q", "q")),
-                           path=f"{sums_folder}-{i % 2}")
-        step = F.zip_with("rr", "pq", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)))
-        sums = sums.withColumn("_a", step)
-        # squared residual after the step, from the sums already at hand
-        after = F.transform(F.arrays_zip("rr", "rq", "qq", "_a"), lambda s: F.greatest(
-            s["rr"] - 2 * s["_a"] * s["rq"] + s["_a"] * s["_a"] * s["qq"], F.lit(0.0)))
-        sums = sums.withColumn("_after", after).withColumn("_b", F.zip_with(
-            "_after", "rr", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))))
-        moved = state.join(sums.select("part", "_a", "_b"), "part")
-        axpy = lambda u, c, v, sign: F.transform(F.arrays_zip(F.col(u).alias("u"), F.col(c).alias("c"), F.col(v).alias("v")),
-                                                 lambda s: s["u"] + sign * s["c"] * s["v"])
-        state = (moved.withColumn("x", axpy("x", "_a", "p", 1.0)).withColumn("r", axpy("r", "_a", "q", -1.0))
-                 .withColumn("p", axpy("r", "_b", "p", 1.0)).drop("_a", "_b", "q"))
-        left = sums.select(F.array_max("_after").alias("left"), F.array_max("rr").alias("now"))
-        worst = left.agg(F.max("left"), F.max("now")).first()
-        goal = goal if goal is not None else worst[1] * tolerance ** 2
-        if worst[0] <= goal:
+    extent = sites.groupBy("part").agg((F.sqrt(dx * dx + dy * dy) * influence).alias("scale"))
+    state = cut_lineage(with_blocks(sites.join(extent, "part"), block)
+                        .withColumn("site", F.xxhash64("lon", "lat")).withColumn("r", F.concat("vals", F.array(F.lit(1.0)))).drop("vals"), "krige-sites")
+    members = cut_lineage(_members(state), "krige-members")
+    first = cut_lineage(_dots(state, goal=("r", "r")), "krige-goal")
+    state = state.join(_preconditioned(members, state, alpha), ["part", "site"]).withColumns(
+        {"p": F.col("z"), "x": F.transform("r", lambda v: F.lit(0.0))})
+    state = cut_lineage(state, "krige-state")
+    for _ in range(MAX_ITERATIONS):
+        state = cut_lineage(state.drop("q").join(_times_covariance(state, alpha), ["part", "site"]), "krige-state")
+        step = _dots(state, rz=("r", "z"), pq=("p", "q"))
+        state = (state.join(step.select("part", "rz", _ratio("rz", "pq").alias("_a")), "part")
+                 .withColumn("x", _plus("x", "_a", "p", 1.0)).withColumn("r", _plus("r", "_a", "q", -1.0)).drop("_a", "z"))
+        state = cut_lineage(state, "krige-state")
+        left = _dots(state, rr=("r", "r")).join(first, "part").select(F.array_max(_ratio("rr", "goal")).alias("worst")).agg(F.max("worst")).first()[0]
+        if left is None or left <= tolerance ** 2:
             break
+        state = state.join(_preconditioned(members, state, alpha), ["part", "site"])
+        state = cut_lineage(state, "krige-state")
+        again = _dots(state, new=("r", "z"))
+        state = (state.join(again, "part").withColumn("_b", _ratio("new", "rz")).withColumn("p", _plus("z", "_b", "p", 1.0)).drop("_b", "new", "rz"))
     else:
-        raise RuntimeError("kriging system did not converge")
-    state = cut_lineage(state, "krige-state")
+        raise RuntimeError(f"the kriging system did not converge in {MAX_ITERATIONS} steps")
     # mean level per month: sum of the plain solution over the sum of the unit solution
-    total = _column_sums(state, t=F.col("x"))
-    level = total.select("part", F.transform(F.slice("t", 1, F.size("t") - 1),
-                                             lambda v: v / F.element_at("t", -1)).alias("level"))
+    ones = state.withColumn("_one", F.transform("x", lambda v: F.lit(1.0)))
+    total = _dots(ones, t=("x", "_one"))
+    level = total.select("part", F.transform(F.slice("t", 1, F.size("t") - 1), lambda v: v / F.element_at("t", -1)).alias("level"))
     solved = state.join(level, "part").withColumn("_u", F.element_at("x", -1))
-    beta = F.zip_with(F.slice("x", 1, F.size("x") - 1), "level", lambda v, m: v - m * F.col("_u"))
-    points = solved.select("part", "lon", "lat", "scale", "days", beta.alias("beta"))
+    beta = F.zip_with(F.expr("slice(x, 1, size(x) - 1)"), "level", lambda v, m: v - m * F.col("_u"))
+    points = solved.select("part", F.lit(False).alias("is_level"), "lon", "lat", "scale", "days", beta.alias("beta"))
     any_days = state.groupBy("part").agg(F.first("days").alias("days"), F.first("scale").alias("scale"))
-    levels = any_days.join(level, "part").select(
-        "part", F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), "scale", "days",
-        F.col("level").alias("beta"))
-    return points.unionByName(levels)
+    none = F.lit(None).cast("double")
+    levels = any_days.join(level, "part").select("part", F.lit(True).alias("is_level"), none.alias("lon"), none.alias("lat"), "scale", "days",
+                                                 F.col("level").alias("beta"))
+    return cut_lineage(points.unionByName(levels), "krige-coefficients")

@@ -13,10 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.operators.kriging_blocks import covariance, dual_coefficients
+from panelspark.operators.nearest import has_position
 from panelspark.operators.skew import spread
 from panelspark.operators.timeline import every_kth_time
+from panelspark.session import cut_lineage
 
-DENSE_POINTS = 4000   # largest system solved inside one task; larger ones: kriging_blocks
+DENSE_POINTS = 4000   # most points whose explicit weights are listed
+POINTS_PER_TASK = 2000
 MONTHS_PER_PART = 64
 CELLS_PER_BLOCK = 1024
 
@@ -32,13 +36,6 @@ def variogram(panel: DataFrame, points: DataFrame, influence: float = 0.125,
                                 F.var_pop(value).alias("sill"), F.lit(0.0).alias("nugget"))
 
 
-def covariance(a: np.ndarray, b: np.ndarray, scale: float, alpha: float) -> np.ndarray:
-    """Stable covariance exp(-(h / scale)^alpha) with unit sill."""
-    d = a[:, None, :] - b[None, :, :]
-    h = np.sqrt((d * d).sum(-1))
-    return np.exp(-((h / scale) ** alpha)) if scale > 0 else (h == 0).astype(float)
-
-
 def position_range(xy: np.ndarray, influence: float) -> float:
     return float(np.hypot(*(xy.max(0) - xy.min(0)))) * influence
 
@@ -67,8 +64,10 @@ def site_series(panel: DataFrame, points: DataFrame, entity="entity_id", ts="ts"
 
     Months of a part have the same set of available entities. Entities at the same position
     are averaged: the pseudo-inverse of the full system gives co-located points equal weights,
-    so this is the same result from a regular system.
+    so this is the same result from a regular system. Points without a position are left out.
     """
+    points = points.filter(has_position())
+    panel = panel.join(points.select(entity), entity, "left_semi")
     seen = panel.filter(F.col(value).isNotNull()).select(entity, ts, value)
     # order-free fingerprint of the entities present in a month
     pattern = F.concat_ws("-", F.count(F.lit(1)).cast("string"),
@@ -85,54 +84,38 @@ def site_series(panel: DataFrame, points: DataFrame, entity="entity_id", ts="ts"
             .select("part", "lon", "lat", F.col("_s.day").alias("days"), F.col("_s.v").alias("vals")))
 
 
-# --- dual system ----------------------------------------------------------------------
-
-COEF_SCHEMA = "part string, lon double, lat double, scale double, days array<int>, beta array<double>"
-
-
-def dual_coefficients(sites: DataFrame, influence: float, alpha: float) -> DataFrame:
-    """Dual kriging coefficients per part and position; the row without a position holds the
-    mean level of each month."""
-    largest = sites.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    if largest > DENSE_POINTS:
-        from panelspark.operators.kriging_blocks import dual_coefficients_blocked
-        return dual_coefficients_blocked(sites, influence, alpha)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["lon", "lat"]].to_numpy(float)
-        scale = position_range(xy, influence)
-        z = np.zeros((len(xy) + 1, len(pdf["days"].iloc[0])))
-        z[:-1] = np.stack(pdf["vals"].to_list())
-        beta = np.linalg.solve(_bordered(xy, scale, alpha), z)
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "lon": [*xy[:, 0], None],
-                             "lat": [*xy[:, 1], None], "scale": scale,
-                             "days": [pdf["days"].iloc[0]] * len(beta), "beta": list(beta)})
-
-    return spread(sites, "part").groupBy("part").applyInPandas(run, COEF_SCHEMA)
-
+# --- fields -----------------------------------------------------------------------------
 
 def evaluate(cells: DataFrame, coef: DataFrame, alpha: float, n_months: int, ts="ts",
              value="value") -> DataFrame:
-    """(ts, cell_id, row, col, lon, lat, value) of all cells and months."""
+    """(ts, cell_id, row, col, lon, lat, value) of all cells and months.
+
+    A task has one block of cells that exists, one bucket of parts and one chunk of points; the partial fields of the chunks are added.
+    """
     buckets = max(1, math.ceil(n_months / MONTHS_PER_PART))
+    largest = coef.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    chunks = max(1, math.ceil(largest / POINTS_PER_TASK))
     cells = cells.withColumn("block", F.floor(F.col("cell_id") / CELLS_PER_BLOCK).cast("int"))
-    last = cells.agg(F.max("block")).first()[0] or 0
-    left = cells.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    blocks = cells.select("block").distinct()
+    pairs = (blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+    left = cells.join(pairs, "block")
     right = (coef.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last)))))
+             .withColumn("chunk", F.when(F.col("is_level"), 0).otherwise(F.pmod(F.xxhash64("lon", "lat", F.lit(5)), F.lit(chunks)).cast("int")))
+             .join(pairs, ["bucket", "chunk"]))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh column ids: both sides know the pairs
     names = ["cell_id", "row", "col", "lon", "lat"]
 
     def run(c: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
         out = []
         at = c[["lon", "lat"]].to_numpy(float)
         for _, part in k.groupby("part", sort=False):
-            level = part["lon"].isna().to_numpy()
+            level = part["is_level"].to_numpy(bool)
             beta = np.stack(part["beta"].to_list())
-            xy = part.loc[~level, ["lon", "lat"]].to_numpy(float)
-            field = np.repeat(beta[level], len(at), axis=0)
-            for i in range(0, len(xy), DENSE_POINTS):
-                cov = covariance(at, xy[i:i + DENSE_POINTS], part["scale"].iloc[0], alpha)
-                field = field + cov @ beta[~level][i:i + DENSE_POINTS]
+            field = np.repeat(beta[level].sum(0, keepdims=True), len(at), axis=0)
+            if not level.all():
+                xy = part.loc[~level, ["lon", "lat"]].to_numpy(float)
+                field = field + covariance(at, xy, part["scale"].iloc[0], alpha) @ beta[~level]
             days = np.asarray(part["days"].iloc[0], dtype="datetime64[D]")
             rows = {n: np.repeat(c[n].to_numpy(), len(days)) for n in names}
             rows[ts] = np.tile(days, len(at)).astype(object)
@@ -142,15 +125,16 @@ def evaluate(cells: DataFrame, coef: DataFrame, alpha: float, n_months: int, ts=
         return pd.concat(out, ignore_index=True)
 
     schema = f"cell_id bigint, row int, col int, lon double, lat double, {ts} date, {value} double"
-    return (spread(left, "block", "bucket").groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket"))
-            .applyInPandas(run, schema))
+    by = ("block", "bucket", "chunk")
+    fields = spread(left, *by).groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+    return fields if chunks == 1 else fields.groupBy(*names, ts).agg(F.sum(value).alias(value))
 
 
 def surfaces(panel: DataFrame, points: DataFrame, cells: DataFrame, influence: float = 0.125,
              alpha: float = 1.5, entity="entity_id", ts="ts", value="value") -> DataFrame:
     """Surface of every month from the entities that have a value in that month."""
     n_months = panel.agg(F.count_distinct(F.col(ts))).first()[0]
-    sites = site_series(panel, points, entity, ts, value)
+    sites = cut_lineage(site_series(panel, points, entity, ts, value), "krige-series")
     coef = dual_coefficients(sites, influence, alpha)
     return evaluate(cells, coef, alpha, n_months, ts, value)
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from panelspark.operators import surface
-from panelspark.operators.kriging_blocks import dual_coefficients_blocked
+from panelspark.operators.kriging_blocks import covariance, dual_coefficients
 
 
 def points3(spark):
@@ -79,13 +79,45 @@ def test_surfaces_match_one_solve_per_month(spark):
         assert np.allclose(part.sort_values("cell_id")["value"], want, atol=1e-9)
 
 
-def test_blocked_solver_equals_dense(spark):
-    panel, points, _, _ = random_panel(spark, n=9, months=2)
-    sites = surface.site_series(panel, points)
-    dense = surface.dual_coefficients(sites, 0.125, 1.5).toPandas()
-    blocked = dual_coefficients_blocked(sites, 0.125, 1.5, block=4).toPandas()
-    key = lambda d: d.fillna({"lon": 9.0, "lat": 9.0}).sort_values(["lon", "lat"])
-    assert np.allclose(np.stack(key(dense)["beta"]), np.stack(key(blocked)["beta"]), atol=1e-7)
+def dense_solution(xy, z, influence=0.125, alpha=1.5):
+    """Coefficients of the bordered system; the last row is the mean level."""
+    scale = np.hypot(*(xy.max(0) - xy.min(0))) * influence
+    k = np.ones((len(xy) + 1,) * 2)
+    k[:-1, :-1] = covariance(xy, xy, scale, alpha)
+    k[-1, -1] = 0
+    return np.linalg.solve(k, np.vstack([z, np.zeros((1, z.shape[1]))]))
+
+
+@pytest.mark.parametrize("n, block, limit", [(14, 1000, 1e-9), (14, 4, 1e-7), (120, 40, 1e-6)])
+def test_blocks_equal_the_dense_solution(spark, n, block, limit):
+    rng = np.random.default_rng(n)
+    xy, z = rng.random((n, 2)), rng.normal(size=(n, 2))
+    rows = pd.DataFrame({"part": "m", "lon": xy[:, 0], "lat": xy[:, 1], "days": [[0, 31]] * n, "vals": list(z)})
+    sites = spark.createDataFrame(rows, "part string, lon double, lat double, days array<int>, vals array<double>").repartition(4)
+    got = dual_coefficients(sites, 0.125, 1.5, block=block, tolerance=1e-10).toPandas()
+    want = dense_solution(xy, z)
+    level = np.stack(got[got.is_level]["beta"])
+    assert np.abs(level - want[-1]).max() <= limit * np.abs(want[-1]).max() + limit
+    points = got[~got.is_level].set_index(["lon", "lat"]).loc[[tuple(p) for p in xy]]
+    assert np.abs(np.stack(points["beta"]) - want[:-1]).max() <= limit * np.abs(want).max()
+
+
+def test_chunks_of_points_add_up(spark, monkeypatch):
+    panel, points, _, _ = random_panel(spark)
+    at = cells(spark, (0.2, 0.3), (0.9, 0.1), (0.5, 0.5))
+    whole = surface.surfaces(panel, points, at).toPandas().sort_values(["ts", "cell_id"])["value"]
+    monkeypatch.setattr(surface, "POINTS_PER_TASK", 4)
+    parts = surface.surfaces(panel, points, at).toPandas().sort_values(["ts", "cell_id"])["value"]
+    assert np.allclose(whole, parts, atol=1e-9)
+
+
+def test_points_without_a_position_are_left_out(spark):
+    panel, points, _, _ = random_panel(spark)
+    at = cells(spark, (0.2, 0.3), (0.9, 0.1))
+    blank = points.selectExpr("entity_id", "CASE WHEN entity_id <> 'p5' THEN lon END AS lon", "lat")
+    got = surface.surfaces(panel, blank, at).toPandas().sort_values(["ts", "cell_id"])["value"]
+    want = surface.surfaces(panel.filter("entity_id <> 'p5'"), points, at).toPandas().sort_values(["ts", "cell_id"])["value"]
+    assert np.allclose(got, want, atol=1e-12)
 
 
 def test_complete_entities_and_variogram(spark):
