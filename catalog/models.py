@@ -243,7 +243,7 @@ def m13(spark, sf):
 KRIGING = {
     "sites": "SELECT *, row_number() OVER (PARTITION BY ts ORDER BY lon, lat) AS i, count(*) OVER (PARTITION BY ts) AS n FROM (SELECT ts, lon, lat, avg(value) AS v FROM seen JOIN npts USING (entity_id) GROUP BY ts, lon, lat)",
     "wide": "SELECT ts, 0.125e0 * sqrt((max(lon) - min(lon)) * (max(lon) - min(lon)) + (max(lat) - min(lat)) * (max(lat) - min(lat))) AS s FROM sites GROUP BY ts",
-    "lines": """SELECT a.ts, a.i, a.n, list_concat(list(exp(-pow(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) / s, 1.5e0)) ORDER BY b.i), [1e0, a.v]) AS line
+    "lines": """SELECT a.ts, a.i, a.n, list_concat(list(CASE WHEN s > 0 THEN exp(-pow(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) / s, 1.5e0)) ELSE 1e0 END ORDER BY b.i), [1e0, a.v]) AS line
         FROM sites a JOIN sites b USING (ts) JOIN wide USING (ts) GROUP BY a.ts, a.i, a.n, a.v
         UNION ALL SELECT ts, n + 1, n, list_concat(list_transform(range(n), lambda x: 1e0), [0e0, 0e0]) FROM (SELECT DISTINCT ts, n FROM sites)""",
     "start": "SELECT ts, CAST(n + 1 AS BIGINT) AS size, list(line ORDER BY i) AS m FROM lines GROUP BY ts, n",
@@ -251,7 +251,8 @@ KRIGING = {
         SELECT ts, size, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN prow ELSE list_transform(line, lambda x, j: x - line[k + 1] * prow[j]) END)
         FROM (SELECT *, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS prow FROM steps WHERE k < size)""",
     "solved": "SELECT ts, size, list_transform(m, lambda line: line[size + 1]) AS beta FROM steps WHERE k = size",
-    "field": """SELECT c.cell_id, p.ts, any_value(beta[size]) + sum(beta[i] * exp(-pow(sqrt((c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat)) / s, 1.5e0))) AS value
+    "field": """SELECT c.cell_id, p.ts, any_value(beta[size]) + sum(beta[i] * CASE WHEN s > 0 THEN exp(-pow(sqrt((c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat)) / s, 1.5e0))
+        WHEN c.lon = p.lon AND c.lat = p.lat THEN 1e0 ELSE 0e0 END) AS value
         FROM sites p JOIN solved USING (ts) JOIN wide USING (ts) CROSS JOIN g c GROUP BY 1, 2""",
 }
 
