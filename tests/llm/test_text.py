@@ -111,6 +111,26 @@ def test_main_text_of_pages(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+SLUGS = [
+    ('<article class="post category-social tag-search comments-open"><p>a</p><section id="discussion"><p>b</p></section><h2 id="search-and-rescue">c</h2>'
+     '<section id="related-work"><h2>d</h2><p>e</p></section><div class="section" id="share-price">f</div><h3 id="notice">g</h3></article>', "a b c d e f g"),
+    ('<article class="social"><p>a</p></article>', "a"),
+    ('<div class="layout has-comments no-sidebar" id="search-page"><article><p>a</p></article></div>', "a"),
+    ('<article><section id="navbar"><h2>Navbar</h2><p>a</p></section><section id="ad-slots"><h2>Ad <i>slots</i></h2><p>b</p></section></article>', "Navbar a Ad slots b"),
+    ('<article><p>a</p><div class="ad">x</div><div class="ad-container-2">x</div><ul class="share-buttons"><li>x</li></ul><div id="comments"><p>x</p></div>'
+     '<section id="comments"><h2>Comments</h2></section><div id="sidebar">x</div><div id="cookie-banner">x</div><div class="related-posts">x</div><p>b</p></article>', "a b"),
+    ('<main><article class="post"><p>a</p><article class="comment"><p>x</p></article></article><article class="ad">x</article></main>', "a"),
+    ('<main><p>a</p></main><div class="sidebar"><article class="teaser">x</article></div><div class="comment-list"><article>x</article></div>', "a"),
+    ('<div class="category-social">a</div><p id="related-work">b</p><div class="cookie-banner">x</div><div id="menu">x</div>', "a b"),
+    ('<section id="discussion"><article>a</article></section>', "a"),
+]
+
+
+def test_slugs_are_not_chrome(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", p) for k, (p, _) in enumerate(SLUGS)], "page_id long, url string, html string")
+    assert rows_of(html_extract.extract(pages), "page_id", "text") == [(k, t) for k, (_, t) in enumerate(SLUGS)]
+
+
 @pytest.mark.parametrize("group", [html_extract.GROUP_TOKENS, 5])
 def test_boilerplate_of_a_host_is_cut(spark, monkeypatch, group):
     monkeypatch.setattr(html_extract, "GROUP_TOKENS", group)
