@@ -142,6 +142,20 @@ def test_boilerplate_of_a_host_is_cut(spark, monkeypatch, group):
     assert got == sorted([*want, (3, f"unique text number 3 here {line} short"), (4, line), (4, line), (None, "no address")], key=repr)
 
 
+@pytest.mark.parametrize("group", [html_extract.GROUP_TOKENS, 5])
+def test_copies_of_a_page_are_one_page(spark, monkeypatch, group):
+    monkeypatch.setattr(html_extract, "GROUP_TOKENS", group)
+    line = "we use this very long line on each of our many pages"
+    one, two = "<p>this page without any article was captured more than once</p>", f"<p>a second page that also has copies and a notice</p><p>{line}</p>"
+    three = f"<p>{line}</p><p>the third page has the notice of the second one in front</p>"
+    pages = [(0, "http://a.org/p", one), (1, "http://a.org/p", one), (2, "http://a.org/q", "<nav>at noon</nav>" + one.replace("<p>", "<div> ")), (3, "http://b.org", two),
+             (4, "http://b.org", two), (5, "http://b.org", three), (6, "http://c.org", two), (7, "http://c.org", two)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text")
+    texts = [re.sub("<[^>]*>", " ", p).split() for p in (one, two, three)]
+    want = [" ".join(texts[0])] * 3 + ["a second page that also has copies and a notice"] * 2 + ["the third page has the notice of the second one in front"]
+    assert got == list(enumerate([*want, *[" ".join(texts[1])] * 2]))
+
+
 def test_repeated_runs_against_windows():
     rng = np.random.default_rng(3)
     for _ in range(20):
