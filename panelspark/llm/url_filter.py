@@ -2,7 +2,7 @@
 
 A list is a log of dated entries (pattern, kind, verdict, ts); an entry holds until the next one
 for the same pattern and kind, so the log turns into validity intervals. Each capture asks for its
-host, its parent domains and its path prefixes, and an as-of join finds the entry that was active
+host, as a host and as a domain, its parent domains and its path prefixes, as long as the longest of the log, and an as-of join finds the entry that was active
 when it was fetched. Intervals are cut at bucket borders, so a join key is (pattern, bucket) and
 meets only the entries of one bucket; captures of hot patterns are salted.
 """
@@ -44,40 +44,51 @@ def intervals(log: DataFrame) -> DataFrame:
             .filter("(to_s IS NULL OR to_s > from_s) AND verdict IN ('block', 'allow')"))
 
 
+def longest_prefix(entries: DataFrame) -> int:
+    """Path segments of the longest pattern of kind prefix, 0 without one."""
+    segments = F.size(F.filter(F.split("pattern", "/"), lambda x: x != "")) - 1
+    return entries.filter("kind = 'prefix'").agg(F.max(segments)).first()[0] or 0
+
+
 def asked(captures: DataFrame, depth: int = 2) -> DataFrame:
-    """A row for each pattern that could name a capture: host, parent domains of two labels and more, path prefixes."""
+    """A row for each pattern that could name a capture: host, the host and its parents of two labels and more as domains, path prefixes."""
     labels = F.split("host", r"\.")
-    domains = F.when(F.size(labels) > 2, F.transform(
-        F.sequence(F.lit(2), F.size(labels) - 1),
+    domains = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern"),
-                           (F.size(labels) - i).alias("rank"))))
+                           (F.size(labels) - i).alias("rank")))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(
+    prefixes = F.when((F.size(parts) > 0) & (F.lit(depth) > 0), F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))),
         lambda i: F.struct(F.lit("prefix").alias("kind"),
                            F.concat_ws("/", "host", F.array_join(F.slice(parts, 1, i), "/")).alias("pattern"),
                            (i + 2000).alias("rank"))))
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern"), F.lit(1000).alias("rank")))
     none = F.expr("CAST(array() AS array<struct<kind:string,pattern:string,rank:int>>)")
-    every = F.concat(own, F.coalesce(domains, none), F.coalesce(prefixes, none))
+    every = F.concat(own, domains, F.coalesce(prefixes, none))
     return (captures.filter("host <> '' AND ts IS NOT NULL").select("capture_id", "ts", F.explode(every).alias("k"))
             .select("capture_id", "ts", "k.kind", "k.pattern", "k.rank"))
 
 
-def evaluate(captures: DataFrame, log: DataFrame, bucket_s: int = 7 * 86400, depth: int = 2, salts: int = 32,
+def evaluate(captures: DataFrame, log: DataFrame, bucket_s: int = 7 * 86400, depth: int | None = None, salts: int = 32,
              k: int = 64) -> DataFrame:
     """capture_id, verdict, kind, pattern for every row of `captures` (capture_id, url, ts in seconds).
 
     The most specific active entry decides: prefix before host before domain, longer before shorter. Without an active
     entry the verdict is 'allow' with null kind and pattern; without host or ts it is 'unknown'. Repeated rows get a row
     each if their capture_id differs, and one row if it repeats (ids name captures); a null id is an id. Empty tables on
-    either side work. Columns beyond the named ones are ignored.
+    either side work. Columns beyond the named ones are ignored. Path prefixes are asked for up to `depth` segments, by
+    default those of the longest prefix in the log.
     """
     caps = cut_lineage(captures.select("capture_id", "ts", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")),
                        "captures")
+    entries = intervals(log)
+    if depth is None:
+        entries = cut_lineage(entries, "entries")
+        depth = longest_prefix(entries)
     want = asked(caps, depth).withColumn("bucket", F.floor(F.col("ts") / bucket_s))
     first, last = (x or 0 for x in caps.agg(F.min("ts"), F.max("ts")).first())
-    held = (intervals(log).filter(f"from_s <= {last} AND (to_s IS NULL OR to_s > {first})")
+    held = (entries.filter(f"from_s <= {last} AND (to_s IS NULL OR to_s > {first})")
             .withColumn("to_s", F.coalesce("to_s", F.lit(last + 1)))
             .withColumn("bucket", F.explode(F.expr(f"sequence(floor(greatest(from_s, {first}) / {bucket_s}), "
                                                    f"floor(least(to_s - 1, {last}) / {bucket_s}))")))

@@ -164,6 +164,23 @@ def test_url_filter(spark, bucket_s):
     assert rows_of(url_filter.evaluate(caps, entries, bucket_s=bucket_s), "capture_id", "verdict", "kind", "pattern") == sorted((w for w in WANT if w[0] in ids), key=repr)
 
 
+def test_url_filter_long_prefixes_and_own_domain(spark):
+    log = [("a.org/1/2/3", "prefix", "block", 1, 1), ("a.org/1", "prefix", "allow", 1, 2), ("a.org/1/2/3/4/5", "prefix", "allow", 1, 3),
+           ("example.com", "domain", "block", 1, 4), ("localhost", "domain", "block", 1, 5), ("b.c.org", "domain", "allow", 1, 6), ("c.org", "domain", "block", 1, 7),
+           ("com", "domain", "block", 1, 8)]
+    captures = [(1, "http://a.org/1/2/3/x"), (2, "http://a.org/1/2/"), (3, "http://a.org/1//2/3/4/5/6"), (4, "http://example.com/"), (5, "http://www.example.com"),
+                (6, "http://localhost:80/"), (7, "http://b.c.org"), (8, "http://c.org/1"), (9, "http://a.org"), (10, "http://notexample.com")]
+    want = [(1, "block", "prefix", "a.org/1/2/3"), (2, "allow", "prefix", "a.org/1"), (3, "allow", "prefix", "a.org/1/2/3/4/5"), (4, "block", "domain", "example.com"),
+            (5, "block", "domain", "example.com"), (6, "block", "domain", "localhost"), (7, "allow", "domain", "b.c.org"), (8, "block", "domain", "c.org"),
+            (9, "allow", None, None), (10, "allow", None, None)]
+    caps = spark.createDataFrame([(i, u, 5) for i, u in captures], "capture_id int, url string, ts long")
+    entries = spark.createDataFrame(log, "pattern string, kind string, verdict string, ts long, seq int")
+    assert rows_of(url_filter.evaluate(caps, entries), "capture_id", "verdict", "kind", "pattern") == sorted(want, key=repr)
+    assert sorted(r.capture_id for r in url_filter.block(caps, entries).collect()) == [2, 3, 7, 9, 10]
+    hosts = entries.filter("kind = 'domain'")
+    assert sorted(r.capture_id for r in url_filter.block(caps, hosts).collect()) == [1, 2, 3, 7, 9, 10]
+
+
 def test_url_filter_without_rows(spark):
     caps = spark.createDataFrame(CAPTURES, "capture_id int, url string, ts long")
     entries = spark.createDataFrame(LOG, "pattern string, kind string, verdict string, ts long, seq int")
