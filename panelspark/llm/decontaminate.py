@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelspark.llm.common import bound_batches, flagged, spread, steps
+from panelspark.llm.common import bound_batches, spread, steps
 from panelspark.session import cut_lineage
 
 WINDOW = 13
@@ -179,17 +180,52 @@ def _scanner(shared, clean: bool, last: bool):
     return run
 
 
-def shards(items: DataFrame, item_id: str, item_text: str, window: int, shard_bytes: int) -> Iterator[Automaton]:
-    """Automata of some `shard_bytes` of item text each; at least one."""
-    test = items.select(F.col(f"`{item_id}`").cast("string").alias("name"),
-                        F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("data")).filter("data IS NOT NULL")
-    total = test.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+def _flagger(shared, one_in: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch, raw, offsets in steps(batches, "text"):
+            flat, at = raw.tobytes().translate(WORD_BYTES), offsets.tolist()
+            held, flags = [], []
+            for lo, hi, old in zip(at[:-1], at[1:], batch.column("spans").to_pylist()):
+                words, spans = flat[lo:hi].split(), [(s["start"], s["end"]) for s in old]
+                automaton.scan(words, spans, set())
+                spans = merged(spans)
+                n = sum(b - a for a, b in spans)
+                held.append([{"start": a, "end": b} for a, b in spans])
+                flags.append(int(n > 0 and one_in * n >= len(words)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(held, SPANS), pa.array(flags, pa.int32())], ["row", "spans", "flag"])
+    return run
+
+
+def distinct_items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """name, data: the named texts, each pair once."""
+    return items.select(F.col(f"`{item_id}`").cast("string").alias("name"),
+                        F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("data")).filter("data IS NOT NULL").distinct()
+
+
+def key() -> Column:
+    """What stands for an item's text where several items have it."""
+    return F.sha2("data", 256)
+
+
+def shards(texts: DataFrame, window: int, shard_bytes: int) -> Iterator[Automaton]:
+    """Automata of some `shard_bytes` of item text each, from names and texts that don't repeat; at least one."""
+    total = texts.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))
     for k in range(n):
-        rows = test.filter(F.pmod(F.xxhash64("data"), F.lit(n)) == k).distinct().collect()
+        rows = texts.filter(F.pmod(F.xxhash64("data"), F.lit(n)) == k).collect()
         yield Automaton([(r.name, bytes(r.data)) for r in rows], window)
 
 
+def named(found: DataFrame, test: DataFrame) -> DataFrame:
+    """`found` with the names of all items in place of the keys of their texts."""
+    rows = cut_lineage(found, "found").withColumn("row", F.monotonically_increasing_id())
+    names = (rows.select("row", F.explode("items").alias("key")).join(test.filter("name IS NOT NULL").select(key().alias("key"), "name"), "key")
+             .groupBy("row").agg(F.sort_array(F.collect_set("name")).alias("names")))
+    return (rows.join(names, "row", "left").withColumn("items", F.coalesce("names", F.expr("CAST(array() AS array<string>)")))
+            .drop("row", "names"))
+
+
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, clean: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of word numbers), items (sorted names), cleaned: one row for each row of `docs`.
@@ -204,7 +240,10 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     df = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                             F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("spans"),
                             F.expr("CAST(array() AS array<string>)").alias("items")))
-    tests = shards(items, item_id, item_text, window, shard_bytes)
+    test = distinct_items(items, item_id, item_text)
+    texts = test.groupBy("data").agg(F.min("name").alias("name"), F.count("name").alias("names"))
+    repeated = (texts.agg(F.max("names")).first()[0] or 0) > 1
+    tests = shards(texts.withColumn("name", key()) if repeated else texts, window, shard_bytes)
     automaton = next(tests)
     while automaton:
         shared, automaton = spark.sparkContext.broadcast(automaton), next(tests, None)
@@ -212,7 +251,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         df = df.mapInArrow(_scanner(shared, clean, last), f"doc_id {id_type}, {FOUND}" + ("" if last else ", text string"))
         if not last:
             df = cut_lineage(df, "scanned")
-    return df
+    return named(df, test) if repeated else df
 
 
 def report(found: DataFrame, one_in: int = 20) -> DataFrame:
@@ -225,20 +264,27 @@ def report(found: DataFrame, one_in: int = 20) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, one_in: int = 20, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, with their columns: hit words are fewer than one in `one_in`."""
-    tests = [docs.sparkSession.sparkContext.broadcast(a) for a in shards(items, item_id, item_text, window, shard_bytes)]
-
-    def hit(raw, offsets):
-        flat, at, out = raw.tobytes().translate(WORD_BYTES), offsets.tolist(), []
-        for lo, hi in zip(at[:-1], at[1:]):
-            words, spans = flat[lo:hi].split(), []
-            for test in tests:
-                test.value.scan(words, spans, set())
-            n = sum(b - a for a, b in merged(spans))
-            out.append(n > 0 and one_in * n >= len(words))
-        return out
-
-    return flagged(docs, text_col, hit).filter("flag = 0").select("row.*")
+    """The rows of `docs` that aren't contaminated, with their columns: hit words are fewer than one in `one_in`.
+
+    One automaton is in use at a time; between shards the rows left are written once with their hits.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    texts = distinct_items(items, item_id, item_text).select("data").distinct().withColumn("name", F.lit(None).cast("string"))
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("spans", T.ArrayType(span)), T.StructField("flag", T.IntegerType())])
+    df = spread(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                            F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("spans")))
+    tests = shards(texts, window, shard_bytes)
+    automaton = next(tests)
+    while automaton:
+        shared, automaton = spark.sparkContext.broadcast(automaton), next(tests, None)
+        # more shards only add hits, so that a contaminated row needn't meet them
+        df = (df.select("row", "spans", F.col(f"row.`{text_col}`").alias("text"))
+              .mapInArrow(_flagger(shared, one_in), schema).filter("flag = 0").select("row", "spans"))
+        if automaton:
+            df = cut_lineage(df, "scanned")
+    return df.select("row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, longer_than: int = 0, one_in: int | None = None, id_col: str = "doc_id",

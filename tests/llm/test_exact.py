@@ -124,6 +124,28 @@ def test_decontamination_of_random_words(spark):
     assert rows_of(got, *COLS) == expected_hits(docs, items)
 
 
+def test_decontamination_takes_one_shard_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, text(rng.randint(2, 16))) for i in range(12)]
+    items += [(100 + i, items[0][1]) for i in range(30)] + [(None, items[1][1])]
+    docs = [(i, text(rng.randint(20, 150)) + " " + rng.choice(items)[1]) for i in range(60)]
+    docs.append((60, " ".join([*(t for _, t in items[:12]), text(200)])))  # hits of all shards add up
+    steps, cut, build = [], decontaminate.cut_lineage, decontaminate.Automaton.__init__
+    monkeypatch.setattr(decontaminate, "cut_lineage", lambda *a: steps.append("cut") or cut(*a))
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", lambda self, rows, window: steps.append([t for _, t in rows]) or build(self, rows, window))
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = expected_hits(docs, items)
+    clean = decontaminate.decontaminate(d, b, shard_bytes=60)
+    assert rows_of(clean, "doc_id") == sorted(((r[0],) for r in want if not r[5]), key=repr) and 0 < clean.count() < len(docs)
+    built = [x for x in steps if x != "cut"]
+    assert len(built) > 2 and steps.count("cut") == len(built) - 1 and steps[2] == "cut"
+    assert sorted(t for x in built for t in x) == sorted({t.encode() for _, t in items})  # an entry for each text
+    steps.clear()
+    assert rows_of(decontaminate.report(decontaminate.scan(d, b, shard_bytes=60)), *COLS) == want
+    assert sorted(t for x in steps if x != "cut" for t in x) == sorted({t.encode() for _, t in items})
+
+
 def test_decontamination_without_rows(spark, edge, nothing):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     assert decontaminate.scan(nothing, items).count() == 0
