@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from panelspark.llm import byte_bpe, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -152,3 +152,37 @@ def op6(spark, sf):
 def op4(spark, sf):
     return (suffix_dedup.remove_repeats(table(spark, sf, "documents"))
             .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+@query("op13_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+              regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > least, false)] AS fails
+      FROM d JOIN least USING (text) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o, substr('ABCDE', a.x, 1) || substr('ABCDE', b.x, 1) || substr('ABCDE', c.x, 1)
+             || substr('ABCDE', d.x, 1) || substr('ABCDE', e.x, 1) AS filter_order
+      FROM i a, i b, i c, i d, i e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (SELECT part, filter_order, step, n, good, toxic, fails[o[step]] AS own, o[step] AS letter,
+             len(list_filter(fails, lambda x: x)) AS n_fails, len(list_filter(o[:step - 1], lambda x: fails[x])) > 0 AS before
+      FROM m, s),
+t AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT own AND NOT before), 0) AS kept,
+             coalesce(sum(n) FILTER (own AND NOT before), 0) AS removed, coalesce(sum(n) FILTER (own AND before), 0) AS redundant,
+             coalesce(sum(n) FILTER (own AND n_fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (own AND NOT before), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (own AND NOT before), 0) AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM t""")
+def op13(spark, sf):
+    flagged = filter_audit.flags(table(spark, sf, "documents"))
+    return filter_audit.audit(filter_audit.mask_counts(flagged, table(spark, sf, "labels")))
