@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import byte_bpe, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from panelspark.llm import byte_bpe, chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, quality, suffix_dedup, token_align, toxicity, url_filter
 from panelspark.llm.common import held_out
 
 QUERIES, ORACLE = {}, {}
@@ -154,6 +154,33 @@ def op4(spark, sf):
             .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+@query("op11_token_align")
+def op11(spark, sf):
+    import public_tokenizers
+    models = token_align.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_align.digests(table(spark, sf, "documents"), models)
+
+
+#: A conversation whose texts look like a template's own marks.
+HARD_TURNS = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+@query("op12_chat_format", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)),
+e AS (SELECT *, length(regexp_replace(text, '(\\*)(### |</turn>)', '\1\1\\\2', 'g')) AS n_text,
+             length(role) + length(regexp_replace(role, '[^\\:\n]', '', 'g')) AS n_role FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             CAST(sum(n_text + n_role + 15) AS BIGINT) AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""")
+def op12(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_TURNS, turns.schema)
+    return chat_format.digests(chat_format.read_back(chat_format.render(turns.unionByName(hard))))
+
+
 @query("op13_filter_audit", r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
