@@ -1,115 +1,32 @@
-"""Dual kriging coefficients for any number of points, block by block.
-
-A part that fits into a block is one dense solve. Larger ones take conjugate gradients over a table with one row per (part, position) and one array entry per month, plus one entry for the unit
-vector that fixes the mean level. The covariance matrix is never stored: an iteration multiplies it by the search directions with
-one task for each pair of blocks. The preconditioner solves overlapping spatial blocks exactly and adds their solutions, so a
-part that fits into one block is solved in the first step. Every entry has its own relative residual.
+"""Dual kriging coefficients for any number of positions.
+
+A part (months with the same positions) that fits into a tile is one dense solve. Larger ones take conjugate gradients: positions are cut into
+tiles by a tree, the covariance matrix multiplies all months at once through `cluster_matrix` (about n log n), and the preconditioner solves
+each tile with the positions around it exactly and adds the solutions, so the number of steps hardly grows with n (some 25 to 40). A row of a table is a
+tile with all of its months as one matrix. A step is two writes: the new residuals with their preconditioned form z, and the matrix's product with
+z, from which the directions and their products follow without another one. So both sums that a step needs are taken at once.
+Every month, and the unit vector that fixes the mean level, has its own relative residual.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from panelspark.operators.cluster_matrix import block_pairs, columns, contributions, covariance, far_pieces, packed, positions, product_of
 from panelspark.operators.skew import spread
+from panelspark.operators.tree import all_nodes, grow
 from panelspark.session import cut_lineage
 
-BLOCK = 800        # positions of a block, about
-OVERLAP = 0.3      # by which a block is wider and higher than its own positions
-TOLERANCE = 1e-10  # residual against the right side, by entry
-MAX_ITERATIONS = 500
-
-
-def covariance(a: np.ndarray, b: np.ndarray, scale: float, alpha: float) -> np.ndarray:
-    """Stable covariance exp(-(h / scale)^alpha) with unit sill."""
-    d = a[:, None, :] - b[None, :, :]
-    h = np.sqrt((d * d).sum(-1))
-    return np.exp(-((h / scale) ** alpha)) if scale > 0 else (h == 0).astype(float)
-
-
-def with_blocks(sites: DataFrame, block: int) -> DataFrame:
-    """Adds the block of each position: strips of equal counts by longitude, cut into equal counts by latitude."""
-    side = F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy("part")) / block)).cast("int")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("part", *by[0]).orderBy(*by[1])) - 1
-    size = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("part", *by))
-    out = sites.withColumn("_side", side)
-    out = out.withColumn("_strip", F.floor(rank((), ("lon", "lat")) * F.col("_side") / size()))
-    out = out.withColumn("_cut", F.floor(rank(("_strip",), ("lat", "lon")) * F.col("_side") / size("_strip")))
-    return out.withColumn("block", (F.col("_strip") * F.col("_side") + F.col("_cut")).cast("int")).drop("_side", "_strip", "_cut")
-
-
-def _summed(rows: DataFrame, name: str) -> DataFrame:
-    """(part, site, name): sums of the arrays of each site, entry by entry, in the JVM."""
-    wide = rows.select("part", "site", F.posexplode(name).alias("pos", "v")).groupBy("part", "site", "pos").agg(F.sum("v").alias("v"))
-    return (wide.groupBy("part", "site").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_a"))
-            .select("part", "site", F.col("_a.v").alias(name)))
-
-
-def _times_covariance(state: DataFrame, alpha: float) -> DataFrame:
-    """(part, site, q): covariance matrix times the column p; a task for each pair of blocks."""
-    blocks = state.select("part", "block").distinct()
-    left = (state.select("part", "site", "lon", "lat", "scale", F.col("block").alias("tb"))
-            .join(blocks.withColumnRenamed("block", "sb"), "part"))
-    right = (state.select("part", F.col("lon").alias("x"), F.col("lat").alias("y"), "p", F.col("block").alias("sb"))
-             .join(blocks.withColumnRenamed("block", "tb"), "part"))
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh column ids: both sides come from one table
-
-    def run(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if t.empty or s.empty:
-            return pd.DataFrame({"part": [], "site": [], "q": []}, dtype=object)
-        k = covariance(t[["lon", "lat"]].to_numpy(float), s[["x", "y"]].to_numpy(float), t["scale"].iloc[0], alpha)
-        return pd.DataFrame({"part": t["part"], "site": t["site"], "q": list(k @ np.stack(s["p"].to_list()))})
-
-    partial = (spread(left, "part", "tb", "sb").groupBy("part", "tb", "sb").cogroup(right.groupBy("part", "tb", "sb"))
-               .applyInPandas(run, "part string, site bigint, q array<double>"))
-    return _summed(partial, "q")
-
-
-def _members(state: DataFrame) -> DataFrame:
-    """(part, site, own block, lon, lat, scale): the positions in each block's widened box."""
-    box = state.groupBy("part", "block").agg(*[f(c).alias(n) for n, f, c in (
-        ("x0", F.min, "lon"), ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat"))])
-    dx, dy = (F.col("x1") - F.col("x0")) * (OVERLAP / 2), (F.col("y1") - F.col("y0")) * (OVERLAP / 2)
-    box = box.select("part", F.col("block").alias("own"), (F.col("x0") - dx).alias("x0"), (F.col("x1") + dx).alias("x1"),
-                     (F.col("y0") - dy).alias("y0"), (F.col("y1") + dy).alias("y1"))
-    near = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    return state.select("part", "site", "lon", "lat", "scale").join(box, "part").filter(near).drop("x0", "x1", "y0", "y1")
-
-
-def _preconditioned(members: DataFrame, state: DataFrame, alpha: float) -> DataFrame:
-    """(part, site, z): the sum of the blocks' exact solutions for the residuals."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["lon", "lat"]].to_numpy(float)
-        z = np.linalg.solve(covariance(xy, xy, pdf["scale"].iloc[0], alpha), np.stack(pdf["r"].to_list()))
-        return pd.DataFrame({"part": pdf["part"], "site": pdf["site"], "z": list(z)})
+BLOCK = 512        # positions of a tile, at most
+OVERLAP = 0.3      # by which a tile is widened for its solve, of its width and height
+TOLERANCE = 1e-10  # residual against the right side, by month
+PATIENCE = 100     # steps without a better residual, after which rounding is what is left
 
-    rows = members.join(state.select("part", "site", "r"), ["part", "site"])
-    return _summed(spread(rows, "part", "own").groupBy("part", "own").applyInPandas(run, "part string, site bigint, z array<double>"), "z")
-
-
-def _dots(state: DataFrame, **pairs) -> DataFrame:
-    """Per part, arrays of the column sums of products of two array columns."""
-    names = list(pairs)
-    products = F.arrays_zip(*[F.zip_with(a, b, lambda x, y: x * y).alias(n) for n, (a, b) in pairs.items()])
-    wide = state.select("part", F.posexplode(products).alias("pos", "v"))
-    sums = wide.groupBy("part", "pos").agg(*[F.sum(F.col(f"v.{n}")).alias(n) for n in names])
-    rows = F.sort_array(F.collect_list(F.struct("pos", *names)))
-    return sums.groupBy("part").agg(rows.alias("_c")).select("part", *[F.col(f"_c.{n}").alias(n) for n in names])
-
-
-def _plus(u: str, c: str, v: str, sign: float):
-    """u + sign * c * v, entry by entry."""
-    return F.transform(F.arrays_zip(F.col(u).alias("u"), F.col(c).alias("c"), F.col(v).alias("v")), lambda s: s["u"] + sign * s["c"] * s["v"])
-
-
-def _ratio(a: str, b: str):
-    return F.zip_with(a, b, lambda x, y: F.when(y != 0, x / y).otherwise(F.lit(0.0)))
+COEF_SCHEMA = "part string, is_level boolean, lon double, lat double, scale double, days array<int>, beta array<double>"
 
 
 def dual_coefficients(sites: DataFrame, influence: float, alpha: float, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
-    """(part, is_level, lon, lat, scale, days, beta); the level row of a part has the mean level of each month.
-
-    A part that fits into one block is solved at once in a task of its own, which is what the iteration would do with it.
-    """
+    """(part, is_level, lon, lat, scale, days, beta); the level row of a part has the mean level of each month."""
     n = sites.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
     small = sites.join(n.filter(F.col("_n") <= block).select("part"), "part", "left_semi")
     large = n.filter(F.col("_n") > block).select("part")
@@ -119,9 +36,6 @@ def dual_coefficients(sites: DataFrame, influence: float, alpha: float, block: i
     return done.unionByName(_iterated(sites.join(large, "part", "left_semi"), influence, alpha, block, tolerance))
 
 
-COEF_SCHEMA = "part string, is_level boolean, lon double, lat double, scale double, days array<int>, beta array<double>"
-
-
 def _solver(influence: float, alpha: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xy = pdf[["lon", "lat"]].to_numpy(float)
@@ -135,40 +49,188 @@ def _solver(influence: float, alpha: float):
     return run
 
 
-def _iterated(sites: DataFrame, influence: float, alpha: float, block: int, tolerance: float) -> DataFrame:
+# --- tiles ------------------------------------------------------------------------------
+
+TILES = "part string, node long, scale double, days array<int>, xy binary, b binary"
+STATE = "part string, node long, scale double, xy binary, x binary, r binary, p binary, s binary"
+DOTS = "rz array<double>, rr array<double>"
+
+
+def tiles_of(sites: DataFrame, influence: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles, nodes): one row for each leaf of a part's tree, with its positions and right sides (months, then ones)."""
+    members, levels, _ = grow(sites.select("part", "lon", "lat"), 2, block, ("part",))
+    nodes = cut_lineage(all_nodes(levels), "krige-tree")
     dx, dy = F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")
     extent = sites.groupBy("part").agg((F.sqrt(dx * dx + dy * dy) * influence).alias("scale"))
-    state = cut_lineage(with_blocks(sites.join(extent, "part"), block)
-                        .withColumn("site", F.xxhash64("lon", "lat")).withColumn("r", F.concat("vals", F.array(F.lit(1.0)))).drop("vals"), "krige-sites")
-    members = cut_lineage(_members(state), "krige-members")
-    first = cut_lineage(_dots(state, goal=("r", "r")), "krige-goal")
-    state = state.join(_preconditioned(members, state, alpha), ["part", "site"]).withColumns(
-        {"p": F.col("z"), "x": F.transform("r", lambda v: F.lit(0.0))})
-    state = cut_lineage(state, "krige-state")
-    for _ in range(MAX_ITERATIONS):
-        state = cut_lineage(state.drop("q").join(_times_covariance(state, alpha), ["part", "site"]), "krige-state")
-        step = _dots(state, rz=("r", "z"), pq=("p", "q"))
-        state = (state.join(step.select("part", "rz", _ratio("rz", "pq").alias("_a")), "part")
-                 .withColumn("x", _plus("x", "_a", "p", 1.0)).withColumn("r", _plus("r", "_a", "q", -1.0)).drop("_a", "z"))
-        state = cut_lineage(state, "krige-state")
-        left = _dots(state, rr=("r", "r")).join(first, "part").select(F.array_max(_ratio("rr", "goal")).alias("worst")).agg(F.max("worst")).first()[0]
-        if left is None or left <= tolerance ** 2:
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["lon", "lat"])
+        b = np.column_stack([np.stack(pdf["vals"].to_list()), np.ones(len(pdf))])
+        return pdf.head(1)[["part", "node", "scale", "days"]].assign(xy=[packed(pdf[["lon", "lat"]].to_numpy(float))], b=[packed(b)])
+
+    rows = sites.join(members, ["part", "lon", "lat"]).join(extent, "part")
+    return cut_lineage(spread(rows, "part", "node").groupBy("part", "node").applyInPandas(pack, TILES), "krige-tiles"), nodes
+
+
+def _surroundings(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, owner, node, x0, x1, y0, y1): a tile's widened box, and the neighbours that reach into it."""
+    box = nodes.select("part", "node", "x0", "x1", "y0", "y1")
+    dx, dy = (F.col("x1") - F.col("x0")) * (OVERLAP / 2), (F.col("y1") - F.col("y0")) * (OVERLAP / 2)
+    wide = box.select("part", F.col("node").alias("owner"), (F.col("x0") - dx).alias("wx0"), (F.col("x1") + dx).alias("wx1"),
+                      (F.col("y0") - dy).alias("wy0"), (F.col("y1") + dy).alias("wy1"))
+    both = near.select("part", F.col("t").alias("owner"), F.col("s").alias("node")).join(wide, ["part", "owner"]).join(box, ["part", "node"])
+    touch = (F.col("x0") <= F.col("wx1")) & (F.col("x1") >= F.col("wx0")) & (F.col("y0") <= F.col("wy1")) & (F.col("y1") >= F.col("wy0"))
+    return cut_lineage(both.filter(touch).select("part", "owner", "node", *[F.col(f"w{c}").alias(c) for c in ("x0", "x1", "y0", "y1")]), "krige-members")
+
+
+def _joined(own: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """`run(own row, rows)` for each tile."""
+    # fresh column ids: both sides may come from one table
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    own = spread(own, "part", "node").groupBy("part", "node")
+
+    def each(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")}, dtype=object)
+        return a.assign(**{k: [v] for k, v in run(a.iloc[0], b).items()})[[f.split()[0] for f in schema.split(", ")]]
+
+    return own.cogroup(spread(rows, "part", "node").groupBy("part", "node")).applyInPandas(each, schema)
+
+
+def _times(state: DataFrame, near: DataFrame, pieces: DataFrame, alpha: float) -> DataFrame:
+    """`state` with w, the matrix's product with z, and wz, the products of both by month."""
+    def run(own, rows):
+        xy = positions(own["xy"])
+        w = product_of(xy, own["scale"], alpha, rows)
+        return {"w": packed(w), "wz": (columns(own["z"], len(xy)) * w).sum(0)}
+
+    return _joined(state, contributions(state, near, pieces, "z"), run, f"{STATE}, z binary, {DOTS}, w binary, wz array<double>")
+
+
+def _preconditioned(state: DataFrame, around: DataFrame, alpha: float) -> DataFrame:
+    """`state` with z, the sum of the widened tiles' exact solutions for the residuals, and the products rz and rr by month."""
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for part, owner, node, scale, xy, r, x0, x1, y0, y1 in pdf[["part", "owner", "node", "scale", "xy", "r", "x0", "x1", "y0", "y1"]].itertuples(index=False):
+                at = positions(xy)
+                inside = np.flatnonzero((at[:, 0] >= x0) & (at[:, 0] <= x1) & (at[:, 1] >= y0) & (at[:, 1] <= y1))
+                if len(inside):
+                    out.append((part, owner, node, scale, inside.astype("<i4").tobytes(), packed(at[inside]), packed(columns(r, len(at))[inside])))
+            yield pd.DataFrame(out, columns=["part", "owner", "node", "scale", "inside", "xy", "r"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = [positions(x) for x in pdf["xy"]]
+        r = np.concatenate([columns(v, len(x)) for v, x in zip(pdf["r"], xy)])
+        at = np.concatenate(xy)
+        z = np.linalg.solve(covariance(at, at, float(pdf["scale"].iloc[0]), alpha), r)
+        ends = np.cumsum([len(x) for x in xy])
+        return pd.DataFrame({"part": pdf["part"], "node": pdf["node"], "inside": pdf["inside"], "z": [packed(v) for v in np.split(z, ends[:-1])]})
+
+    def add(own, rows):
+        n = len(own["xy"]) // 16
+        r = columns(own["r"], n)
+        z = np.zeros(r.shape)
+        for inside, v in zip(rows["inside"], rows["z"]):
+            inside = np.frombuffer(inside, "<i4")
+            z[inside] += columns(v, len(inside))
+        return {"z": packed(z), "rz": (r * z).sum(0), "rr": (r * r).sum(0)}
+
+    met = around.join(state.select("part", "node", "scale", "xy", "r"), ["part", "node"])
+    parts = met.mapInPandas(cut, "part string, owner long, node long, scale double, inside binary, xy binary, r binary")
+    solved = spread(parts, "part", "owner").groupBy("part", "owner").applyInPandas(solve, "part string, node long, inside binary, z binary")
+    return _joined(state, solved, add, f"{STATE}, z binary, {DOTS}")
+
+
+def _totals(state: DataFrame, *names: str) -> DataFrame:
+    """Per part, arrays of the sums of array columns, month by month."""
+    wide = state.select("part", F.posexplode(F.arrays_zip(*names)).alias("pos", "v"))
+    sums = wide.groupBy("part", "pos").agg(*[F.sum(F.col(f"v.{n}")).alias(n) for n in names])
+    rows = F.sort_array(F.collect_list(F.struct("pos", *names)))
+    return sums.groupBy("part").agg(rows.alias("_c")).select("part", *[F.col(f"_c.{n}").alias(n) for n in names])
+
+
+def _ratio(a, b):
+    return F.zip_with(a, b, lambda x, y: F.when(y != 0, x / y).otherwise(F.lit(0.0)))
+
+
+def _stepped(state: DataFrame, factors: DataFrame) -> DataFrame:
+    """Tiles one step on: direction p and its product s from z and w, then solution and residual along them; `factors` has alpha and beta by month."""
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                n = len(row.xy) // 16
+                z, w, x, r, p, s = (columns(v, n) for v in (row.z, row.w, row.x, row.r, row.p, row.s))
+                p, s = z + np.asarray(row.beta) * p, w + np.asarray(row.beta) * s
+                alpha = np.asarray(row.alpha)
+                out.append((row.part, row.node, row.scale, row.xy, *map(packed, (x + alpha * p, r - alpha * s, p, s))))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in STATE.split(", ")])
+
+    return state.join(factors, "part").mapInPandas(run, STATE)
+
+
+def _iterated(sites: DataFrame, influence: float, alpha: float, block: int, tolerance: float) -> DataFrame:
+    tiles, nodes = tiles_of(sites, influence, block)
+    near, far = block_pairs(nodes)
+    pieces = cut_lineage(far_pieces(tiles, far, alpha), "krige-far")
+    around = _surroundings(near, nodes)
+    zero = F.expr("unhex(repeat('00', octet_length(b)))")
+    state = tiles.select("part", "node", "scale", "xy", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("s"))
+    goal, last, best, since, solved = None, None, None, 0, []
+    while True:
+        state = cut_lineage(_preconditioned(state, around, alpha), "krige-state")
+        state = cut_lineage(_times(state, near, pieces, alpha), "krige-product")
+        now = _totals(state, "rz", "rr", "wz")
+        if goal is None:
+            goal = last = cut_lineage(now.select("part", F.col("rr").alias("goal"), F.col("rz").alias("old"), F.lit(None).cast("array<double>").alias("step")), "krige-goal")
+        # alpha and beta of this step from both sums and the step before
+        now = (now.join(goal.select("part", "goal"), "part").join(last.select("part", "old", "step"), "part")
+               .withColumn("beta", F.when(F.col("step").isNull(), F.transform("rz", lambda v: F.lit(0.0))).otherwise(_ratio("rz", "old")))
+               .withColumn("_pq", F.when(F.col("step").isNull(), F.col("wz")).otherwise(
+                   F.zip_with("wz", F.zip_with("beta", _ratio("rz", "step"), lambda b, v: b * v), lambda d, v: d - v)))
+               .select("part", "rz", "beta", _ratio("rz", "_pq").alias("alpha"), F.array_max(_ratio("rr", "goal")).alias("left")))
+        now = cut_lineage(now, "krige-left")
+        done, worst = now.agg(F.count_if(F.col("left") <= tolerance ** 2), F.max("left")).first()
+        if done:  # parts that are solved leave
+            ready = now.filter(F.col("left") <= tolerance ** 2).select("part")
+            solved.append(state.join(ready, "part", "left_semi").select("part", "node", "scale", "xy", "x"))
+        if worst is None or worst <= tolerance ** 2:
             break
-        state = state.join(_preconditioned(members, state, alpha), ["part", "site"])
-        state = cut_lineage(state, "krige-state")
-        again = _dots(state, new=("r", "z"))
-        state = (state.join(again, "part").withColumn("_b", _ratio("new", "rz")).withColumn("p", _plus("z", "_b", "p", 1.0)).drop("_b", "new", "rz"))
-    else:
-        raise RuntimeError(f"the kriging system did not converge in {MAX_ITERATIONS} steps")
-    # mean level per month: sum of the plain solution over the sum of the unit solution
-    ones = state.withColumn("_one", F.transform("x", lambda v: F.lit(1.0)))
-    total = _dots(ones, t=("x", "_one"))
-    level = total.select("part", F.transform(F.slice("t", 1, F.size("t") - 1), lambda v: v / F.element_at("t", -1)).alias("level"))
-    solved = state.join(level, "part").withColumn("_u", F.element_at("x", -1))
-    beta = F.zip_with(F.expr("slice(x, 1, size(x) - 1)"), "level", lambda v, m: v - m * F.col("_u"))
-    points = solved.select("part", F.lit(False).alias("is_level"), "lon", "lat", "scale", "days", beta.alias("beta"))
-    any_days = state.groupBy("part").agg(F.first("days").alias("days"), F.first("scale").alias("scale"))
+        since = 0 if best is None or worst < best / 4 or done else since + 1
+        best = worst if best is None else min(best, worst)
+        if since > PATIENCE:
+            raise RuntimeError(f"positions so close together that rounding leaves a relative residual of {worst ** 0.5:.1e}")
+        now = now.filter(F.col("left") > tolerance ** 2)
+        last = now.select("part", F.col("rz").alias("old"), F.col("alpha").alias("step"))
+        state = _stepped(state, now.select("part", "alpha", "beta"))
+    return _coefficients(solved, tiles)
+
+
+def _coefficients(solved: list[DataFrame], tiles: DataFrame) -> DataFrame:
+    """Coefficients and mean levels from the solutions: a month's level is the sum of its plain solution over that of the unit vector."""
+    x = solved[0]
+    for more in solved[1:]:
+        x = x.unionByName(more)
+
+    def sums(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"part": pdf["part"], "t": [columns(v, len(at) // 16).sum(0) for v, at in zip(pdf["x"], pdf["xy"])]})
+
+    total = _totals(x.mapInPandas(sums, "part string, t array<double>"), "t")
+    level = cut_lineage(total.select("part", F.transform(F.expr("slice(t, 1, size(t) - 1)"), lambda v: v / F.element_at("t", -1)).alias("level")), "krige-level")
+
+    def unpack(batches):
+        for pdf in batches:
+            for part, scale, xy, v, days, mean in pdf[["part", "scale", "xy", "x", "days", "level"]].itertuples(index=False):
+                at = positions(xy)
+                v = columns(v, len(at))
+                yield pd.DataFrame({"part": part, "is_level": False, "lon": at[:, 0], "lat": at[:, 1], "scale": scale, "days": [days] * len(at),
+                                    "beta": list(v[:, :-1] - v[:, -1:] * np.asarray(mean)[None, :])})
+
+    rows = x.join(tiles.select("part", "node", "days"), ["part", "node"]).join(level, "part")
+    points = rows.mapInPandas(unpack, COEF_SCHEMA)
     none = F.lit(None).cast("double")
-    levels = any_days.join(level, "part").select("part", F.lit(True).alias("is_level"), none.alias("lon"), none.alias("lat"), "scale", "days",
-                                                 F.col("level").alias("beta"))
+    first = tiles.groupBy("part").agg(F.first("days").alias("days"), F.first("scale").alias("scale"))
+    levels = first.join(level, "part").select("part", F.lit(True).alias("is_level"), none.alias("lon"), none.alias("lat"), "scale", "days", F.col("level").alias("beta"))
     return cut_lineage(points.unionByName(levels), "krige-coefficients")

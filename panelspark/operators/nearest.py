@@ -1,17 +1,20 @@
-"""The nearest sites of every point, by descending a pyramid of tiles.
+"""The nearest sites of every point, by descending a tree over the sites.
 
-Sites are counted in square tiles of several sizes. A point starts with the largest tile and keeps, level by level, the
-tiles that can hold one of its nearest sites: those no farther than the nearest tiles that hold enough of them. The number of
-levels is fixed, so sparse, clustered and distant sites all take the same passes, and no point meets all sites.
+The tree splits where the sites are, so a leaf holds a few of them wherever they lie. A point goes down twice. The first way, to the nearest child
+each time, gives a distance within which enough sites lie; the second follows all nodes within that distance. Both are joins of
+points with the tree's levels, without a shuffle as long as a level is small, and a point meets the sites of a few leaves only.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.geometry import squared_distance
+from panelspark.operators.skew import spread
+from panelspark.operators.tree import ROOT, children, grow, small
 from panelspark.session import cut_lineage
 
-LEVELS = 6       # below the largest tile; each level halves a tile twice, so a leaf is 1/4096 of the extent
-BROADCAST_LEVELS = 3  # levels of at most 16**3 tiles, whose tables are broadcast
+FAN = 64
+LEAF = 16
+FEW = 256  # so many sites need no tree
 
 
 def has_position(lon="lon", lat="lat") -> Column:
@@ -25,6 +28,50 @@ def without_position(points: DataFrame, key: str = "entity_id") -> DataFrame:
     return points.filter(~has_position()).select(key, F.lit("no position").alias("status"))
 
 
+def _gap(v, lo, hi):
+    return F.greatest(lo - v, v - hi, F.lit(0.0))
+
+
+def _reach(v, lo, hi):
+    return F.greatest(F.abs(v - lo), F.abs(hi - v))
+
+
+def _square(f, box) -> Column:
+    """Squared distance of the point from the nearest (`_gap`) or farthest (`_reach`) place of a box; sites never lie nearer or farther."""
+    return squared_distance(f(F.col("lon"), box["x0"], box["x1"]), F.lit(0.0), F.lit(0.0), f(F.col("lat"), box["y0"], box["y1"]))
+
+
+def met(points: DataFrame, sites: DataFrame, wanted: int, site: str = "site") -> DataFrame:
+    """The rows of `points` (lon, lat) with the sites (array of site, _x, _y) of each leaf that can hold one of the `wanted` nearest.
+
+    `_bound` is the squared distance within which they lie, NULL if there are fewer sites.
+    """
+    first = F.row_number().over(Window.partitionBy("_x", "_y").orderBy(site))
+    sites = sites.withColumn("_first", first).filter(F.col("_first") <= wanted).drop("_first")  # enough of those at one position
+    packed = F.collect_list(F.struct(site, "_x", "_y")).alias("_sites")
+    if sites.limit(FEW + 1).count() <= FEW:
+        levels, leaves = [], F.broadcast(sites.groupBy(F.lit(ROOT).cast("long").alias("node")).agg(packed))
+    else:
+        members, tables, counts = grow(sites, FAN, LEAF, x="_x", y="_y")
+        levels = [small(children(table, FAN), n) for table, n in zip(tables[1:], counts)]
+        leaves = cut_lineage(members.groupBy("node").agg(packed), "tree-leaves")
+    seen = points.withColumns({"node": F.lit(ROOT).cast("long"), "_bound": F.lit(None).cast("double")})
+    for table in levels:
+        enough = F.array_min(F.transform(F.filter("kids", lambda c: c["n"] >= wanted), lambda c: _square(_reach, c)))
+        down = F.array_min(F.transform("kids", lambda c: F.struct(_square(_gap, c), c["node"])))["node"]
+        seen = (seen.join(table, "node", "left").withColumn("_bound", F.least("_bound", enough))
+                .withColumn("node", F.coalesce(down, "node")).drop("kids"))
+    own = F.array_sort(F.transform("_sites", lambda s: squared_distance(F.col("lon"), F.col("lat"), s["_x"], s["_y"])))
+    seen = (seen.join(leaves, "node").withColumn("_bound", F.least("_bound", F.get(own, F.lit(wanted - 1)))).drop("_sites", "node")
+            .withColumn("node", F.lit(ROOT).cast("long")))
+    within = lambda c: F.col("_bound").isNull() | (_square(_gap, c) <= F.col("_bound"))
+    for table in levels:
+        front = F.transform(F.filter("kids", within), lambda c: c["node"])
+        seen = (seen.join(table, "node", "left").withColumn("node", F.explode(F.when(F.col("kids").isNull(), F.array("node")).otherwise(front)))
+                .drop("kids"))
+    return seen.join(leaves, "node").select(*points.columns, "_bound", "_sites")
+
+
 def nearest(points: DataFrame, sites: DataFrame, k: int = 1, key: str = "entity_id", site: str = "site",
             others_only: bool = False) -> DataFrame:
     """(key, site, distance, rank): the k nearest sites of each point with a position; ties by site.
@@ -33,37 +80,13 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, key: str = "entity_
     """
     points = points.filter(has_position()).select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
     sites = sites.filter(has_position()).select(site, F.col("lon").cast("double").alias("_x"), F.col("lat").cast("double").alias("_y"))
-    box = sites.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    if box[0] is None:
-        return points.join(sites, F.lit(False)).select(key, site, F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
-    def cell(v, lo, hi):
-        return F.least(F.floor((v - lo) / ((hi - lo) or 1.0) * 4 ** LEVELS), F.lit(4 ** LEVELS - 1)).cast("int")
-    sites = sites.withColumns({"_u": cell(F.col("_x"), box[0], box[1]), "_v": cell(F.col("_y"), box[2], box[3])})
-    tiles = (sites.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))))
-             .withColumns({"_u": F.expr(f"shiftright(_u, 2 * ({LEVELS} - _level))"), "_v": F.expr(f"shiftright(_v, 2 * ({LEVELS} - _level))")})
-             .groupBy("_level", "_u", "_v").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
-                                                F.min("_y").alias("_y0"), F.max("_y").alias("_y1")))
-    tiles = cut_lineage(tiles, "tiles")
-    wanted = k + 1 if others_only else k
-    front = points.withColumns({"_u": F.lit(0), "_v": F.lit(0)})
-    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
-    reach = lambda v, lo, hi: F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(hi) - F.col(v)))
-    square = lambda f: squared_distance(f("lon", "_x0", "_x1"), F.lit(0.0), F.lit(0.0), f("lat", "_y0", "_y1"))
-    of_point = Window.partitionBy(key)
-    so_far = of_point.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
-    for level in range(1, LEVELS + 1):
-        table = (tiles.filter(F.col("_level") == level)
-                 .select(F.shiftright("_u", 2).alias("_pu"), F.shiftright("_v", 2).alias("_pv"), F.col("_u").alias("_cu"), F.col("_v").alias("_cv"),
-                         "_n", "_x0", "_x1", "_y0", "_y1"))
-        table = F.broadcast(table) if level <= BROADCAST_LEVELS else table
-        met = front.join(table, (F.col("_u") == F.col("_pu")) & (F.col("_v") == F.col("_pv")))
-        enough = F.min(F.when(F.col("_held") >= wanted, F.col("_far"))).over(of_point)
-        front = (met.withColumns({"_near": square(gap), "_far": square(reach)}).withColumn("_held", F.sum("_n").over(so_far))
-                 .withColumn("_enough", enough).filter(F.col("_enough").isNull() | (F.col("_near") <= F.col("_enough")))
-                 .select(key, "lon", "lat", F.col("_cu").alias("_u"), F.col("_cv").alias("_v")))
-    found = front.join(sites, ["_u", "_v"]).withColumn("_d2", squared_distance(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y")))
+    # dealt by key once: what follows is narrow up to the ranks of each key
+    found = met(spread(points, key), sites, k + 1 if others_only else k, site)
+    apart = lambda s: squared_distance(F.col("lon"), F.col("lat"), s["_x"], s["_y"])
+    near = F.filter("_sites", lambda s: F.col("_bound").isNull() | (apart(s) <= F.col("_bound")))
+    found = found.select(key, F.inline(F.transform(near, lambda s: F.struct(s[site].alias(site), apart(s).alias("_d2")))))
     if others_only:
         found = found.filter(F.col(site) != F.col(key))
-    order = of_point.orderBy("_d2", site)
+    order = Window.partitionBy(key).orderBy("_d2", site)
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select(key, site, F.sqrt("_d2").alias("distance"), "rank"))
