@@ -30,6 +30,8 @@ from panelspark.session import cut_lineage
 #: Bytes of text in a step and in a part of a long text, and words that a worker remembers.
 STEP = 1 << 20
 REMEMBERED = 400_000
+#: Words that the models are given in one line.
+TOGETHER = 256
 BLANK = 32
 #: Bytes that end a character of white space: alone, or after the given bytes.
 SPACE_ENDS = {(): (9, 10, 11, 12, 13, 28, 29, 30, 31, 32), (0xC2,): (0x85, 0xA0), (0xE1, 0x9A): (0x80,), (0xE1, 0xA0): (0x8E,),
@@ -125,10 +127,9 @@ class Side:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
-    def add(self, coded: list[list[int]]) -> None:
-        n = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((x for c in coded for x in c), np.int32, int(n.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        """`n` tokens for each new word."""
+        self.ids = np.concatenate([self.ids, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
 
     def of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,21 +154,60 @@ class Coder:
         self.a, self.b = Side(self.sizes_a), Side(self.sizes_b)
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Words begin with a blank. A word fits if both models' tokens spell it."""
+        """Words begin with a blank. A word fits if both models' tokens spell it.
+
+        Words are coded as lines of TOGETHER words, which the models code apart unless one ends with white space; those are coded
+        one by one, like a line that isn't spelled.
+        """
+        joined = np.frombuffer(b"".join(words) + b" ", np.uint8)
+        apart = np.isin(np.cumsum([len(w) for w in words]), word_starts(joined), assume_unique=True)
+        order = np.argsort(~apart, kind="stable")
+        hashes, words = hashes[order], [words[i] for i in order.tolist()]
+        n = int(apart.sum())
+        lines = [words[i:min(i + TOGETHER, n)] for i in range(0, n, TOGETHER)]
+        texts = [b"".join(line) for line in lines]
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        a = [e.ids for e in self.m.a.encode_batch_fast(decoded, add_special_tokens=False)]
+        b = self.m.b.encode([t[1:] for t in decoded], num_threads=1)
+        base, found = len(self.fit), []
+        for line, text, x, y in zip(lines, texts, a, b):
+            x, y = np.asarray(x, np.int32), np.asarray(y, np.int32)
+            ends = np.cumsum([len(w) for w in line])
+            n_x, n_y = self._apart(x, self.sizes_a, ends), self._apart(y, self.sizes_b, ends)
+            spelled = lambda ids, of: b"".join([of[i] for i in ids.tolist()]) == text
+            if n_x is not None and n_y is not None and spelled(x, self.m.bytes_a) and spelled(y, self.m.bytes_b):
+                found.append((x, n_x, y, n_y, np.ones(len(line), np.bool_)))
+            else:
+                found.append(self._one_by_one(line))
+        if n < len(words):
+            found.append(self._one_by_one(words[n:]))
+        x, n_x, y, n_y, fit = map(np.concatenate, zip(*found))
+        self.a.add(x, n_x)
+        self.b.add(y, n_y)
+        self.fit = np.concatenate([self.fit, fit])
+        seen = np.concatenate([self.seen, hashes])
+        order = np.argsort(seen, kind="stable")
+        self.place = np.concatenate([self.place, base + np.arange(len(hashes))])[order]
+        self.seen = seen[order]
+
+    @staticmethod
+    def _apart(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """How many tokens each word has, if tokens end where words do."""
+        stop = np.cumsum(sizes[ids])
+        at = np.searchsorted(stop, ends)
+        if not len(stop) or stop[-1] != ends[-1] or (stop[np.minimum(at, len(stop) - 1)] != ends).any():
+            return None
+        return np.diff(at + 1, prepend=0)
+
+    def _one_by_one(self, words: list[bytes]):
         texts = [w.decode("utf-8", "replace") for w in words]
         a = [e.ids for e in self.m.a.encode_batch(texts, add_special_tokens=False)]
         # B puts a blank before what it gets, unless it gets nothing
         b = [c if len(t) > 1 else [self.blank] for c, t in zip(self.m.b.encode([t[1:] for t in texts], num_threads=1), texts)]
         spell = lambda coded, of, w: b"".join([of[i] for i in coded]) == w
         fit = [spell(x, self.m.bytes_a, w) and spell(y, self.m.bytes_b, w) for x, y, w in zip(a, b, words)]
-        base = len(self.fit)
-        self.a.add(a)
-        self.b.add(b)
-        self.fit = np.concatenate([self.fit, np.array(fit, np.bool_)])
-        seen = np.concatenate([self.seen, hashes])
-        order = np.argsort(seen, kind="stable")
-        self.place = np.concatenate([self.place, base + np.arange(len(hashes))])[order]
-        self.seen = seen[order]
+        flat = lambda coded: (np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded], np.int64))
+        return *flat(a), *flat(b), np.array(fit, np.bool_)
 
     def words(self, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The number of each word; words lie from each start to the next."""
@@ -268,11 +308,17 @@ def _parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         lo = int(cut)
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted arrays as one, each value once."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 def _aligned(coder: Coder, raw: np.ndarray, offsets: np.ndarray):
     """n_a, n_b, n_groups, groups (bytes, offsets) and links (pair numbers, offsets) of each text, and whether all of its words fit."""
     n = len(offsets) - 1
     most = max(len(coder.m.bytes_a), len(coder.m.bytes_b))
-    start = np.union1d(word_starts(raw), offsets[:-1])
+    start = _merged(word_starts(raw), offsets[:-1])
     word = coder.words(raw, start)
     at = np.searchsorted(start, offsets)
     misfit = np.concatenate([[0], np.cumsum(~coder.fit[word])])
@@ -287,7 +333,7 @@ def _aligned(coder: Coder, raw: np.ndarray, offsets: np.ndarray):
     # the last end of a text is shared; what lies before it is divided
     lasts = a_at[1:][fits] - 1
     inner = shared_ends(a_end, b_end, a_at[:-1][fits], lasts)
-    cut = np.union1d(inner, lasts)
+    cut = np.sort(np.concatenate([inner, lasts]), kind="stable")  # none is in both
     a_stop, b_stop = cut + 1, np.searchsorted(b_end, a_end[cut]) + 1
     text, behind = written(a, b, a_stop, b_stop, np.isin(cut, lasts, assume_unique=True), most)
     links = np.searchsorted(coder.m.pairs, a[cut].astype(np.int64) << 32 | b[b_stop - 1]).astype(np.int32)
