@@ -97,7 +97,7 @@ def test_audit_of_nothing(spark, nothing):
 
 
 def test_sketch_clears_unique_texts_and_no_other(spark):
-    rows = (spark.range(30000).withColumn("t", F.when(F.col("id") < 10000, F.lit("hot")).when(F.col("id") < 11000, F.col("id") % 500).otherwise(F.col("id")))
+    rows = (spark.range(30000).withColumn("t", F.when(F.col("id") < 10000, F.lit("hot")).when(F.col("id") < 11000, (F.col("id") % 500).cast("string")).otherwise(F.col("id").cast("string")))
             .select("id", F.unhex(F.sha2(F.col("t").cast("string"), 256)).alias("sha")).repartition(7))
     counters = filter_audit.sketch(rows, 18)
     sha = rows.toArrow()
@@ -131,7 +131,7 @@ def test_spans_are_code_points_and_nested_marks_are_one():
 
 
 def test_constants_are_folded():
-    tree = fold_body(parse("a{{ 'b' ~ 1 + 1 }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}{% if false %}{{ y }}{% endif %}{{ ['p'][0] | upper }}"))
+    tree = fold_body(parse("a{{ 'b' ~ (1 + 1) }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}{% if false %}{{ y }}{% endif %}{{ ['p'][0] | upper }}"))
     assert tree == (Text("ab2cP"),)
     loop, = fold_body(parse("{% for x in [1, 2] %}{{ 'k' }}{{ x if true else 0 }}{% endfor %}"))
     assert isinstance(loop, For) and loop.over == Const([1, 2]) and loop.body[0] == Text("k") and isinstance(loop.body[1], Output)
