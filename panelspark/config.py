@@ -95,7 +95,7 @@ class RunConfig:
     batch_size: int = 128
     epochs: int = 700
     seed: int = 42
-    estimator: str = "mlp"
+    estimator: str = "linear"
     # refinement
     n_iterations: int = 2
     refine_fractions: tuple[float, ...] = (0.10, 0.25, 0.5, 1.0)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.config import RunConfig, FEATURE_VARIABLES, GridSpec
-from panelspark.operators import features as feat, folds, model
+from panelspark.operators import features as feat, folds, least_squares, model
 from panelspark.operators.clean import clean_panel
 from panelspark.operators.grid import nearest_cell_series
 from panelspark.operators.prior import prior_features
@@ -28,14 +28,13 @@ def fit_and_fill(panel: DataFrame, rows: DataFrame, config: RunConfig) -> dict[s
     re-read, since several results are taken from each of them.
     """
     rows = cut_lineage(rows, "model-rows")
-    train = folds.training_rows(rows, config.folds, config.validation_split, config.seed)
-    fitted = cut_lineage(model.fit_folds(train, config.epochs, config.batch_size, config.seed,
-                                         config.estimator, config.folds), "fold-fits")
-    warm = model.warm_starts(fitted, config.folds)
-    final = cut_lineage(model.fit_final(rows, warm, FINAL_BATCH, config.seed, config.estimator),
-                        "final-fits")
-    predicted = model.predictions(final)
-    runs = model.predictions(fitted).unionByName(predicted)
+    if config.estimator == "linear":
+        found, status = least_squares.fit_and_predict(rows, config.folds, config.validation_split, config.seed)
+        runs = cut_lineage(found, "least-squares")
+        predicted = runs.filter(F.col("fold") == least_squares.FINAL)
+        history = rows.sparkSession.createDataFrame([], "entity_id string, fold int, epoch int, loss double, val_loss double")
+    else:
+        runs, predicted, status, history = _network(rows, config)
     done = predicted.select("entity_id").distinct()
     observed = panel.join(done, "entity_id", "left_semi")
     data = between(folds.fill(observed, predicted), config.start, config.end)
@@ -49,11 +48,23 @@ def fit_and_fill(panel: DataFrame, rows: DataFrame, config: RunConfig) -> dict[s
         "fold_metrics": metrics,
         "metrics": folds.wide_metrics(folds.mean_metrics(metrics, config.folds), comp),
         "spread": folds.ensemble_spread(runs),
-        "history": model.history(fitted),
-        "status": model.status(fitted).unionByName(model.status(final)),
+        "history": history,
+        "status": status,
     }
 
 
+def _network(rows: DataFrame, config: RunConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(runs, final predictions, status, history) of the small network, which trains in Python workers."""
+    train = folds.training_rows(rows, config.folds, config.validation_split, config.seed)
+    fitted = cut_lineage(model.fit_folds(train, config.epochs, config.batch_size, config.seed,
+                                         config.estimator, config.folds), "fold-fits")
+    warm = model.warm_starts(fitted, config.folds)
+    final = cut_lineage(model.fit_final(rows, warm, FINAL_BATCH, config.seed, config.estimator), "final-fits")
+    predicted = model.predictions(final)
+    return (model.predictions(fitted).unionByName(predicted), predicted,
+            model.status(fitted).unionByName(model.status(final)), model.history(fitted))
+
+
 def satellite_rows(panel: DataFrame, points: DataFrame, drought: tuple[DataFrame, DataFrame, GridSpec],
                    land: tuple[DataFrame, DataFrame, GridSpec], config: RunConfig,
                    drought_variables, land_variables=FEATURE_VARIABLES) -> DataFrame:
