@@ -1,9 +1,9 @@
 """Which other series help to predict a series: correlation and distance scores.
 
-Every target has to be compared with every candidate. Entities are hashed into blocks of a
-bounded number of series; one task compares one block of targets with one block of candidates
-as matrix products, and hands on only the best candidates of each target. No pair of rows
-is ever joined, and no block grows with the number of entities.
+The best candidates of each target come from `best_relations`, which visits only blocks of
+candidates that can hold one. A table of all relations has a row for every target and candidate, so
+there every block of targets meets every block of candidates; entities are hashed into blocks of
+a bounded number of series, compared as matrix products.
 """
 
 import math
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.operators.best_relations import BLOCK as BEST_BLOCK, best, compared, matrix
 from panelspark.operators.nearest import has_position, nearest
 from panelspark.operators.skew import attach, spread
 from panelspark.session import cut_lineage
@@ -51,35 +52,6 @@ def _vectors(panel, entity, ts, value):
         F.collect_list(value).alias("vals"))
 
 
-def _matrix(pdf, days):
-    m = np.full((len(pdf), len(days)), np.nan)
-    for i, (d, v) in enumerate(zip(pdf["days"], pdf["vals"])):
-        if d is None:
-            continue
-        pos = np.searchsorted(days, d)
-        ok = (pos < len(days))
-        ok[ok] = days[pos[ok]] == np.asarray(d)[ok]
-        m[i, pos[ok]] = np.asarray(v)[ok]
-    return m
-
-
-def _correlate(t, c):
-    """Pearson r of every row of t with every row of c over their common entries."""
-    mt, mc = (~np.isnan(t)).astype(float), (~np.isnan(c)).astype(float)
-    with np.errstate(all="ignore"):
-        t = np.where(mt > 0, t - np.nanmean(t, axis=1, keepdims=True), 0.0)
-        c = np.where(mc > 0, c - np.nanmean(c, axis=1, keepdims=True), 0.0)
-        n = mt @ mc.T
-        st, sc = t @ mc.T, mt @ c.T
-        cov = t @ c.T - st * sc / n
-        vt = (t * t) @ mc.T - st * st / n
-        vc = mt @ (c * c).T - sc * sc / n
-        # a constant series leaves only rounding noise in its variance
-        flat = (vt <= 1e-12 * ((t * t) @ mc.T)) | (vc <= 1e-12 * (mt @ (c * c).T)) | (n < 2)
-        r = cov / np.sqrt(vt * vc)
-    return np.where(flat, np.nan, r)
-
-
 def _distances(a, b):
     d = a[:, None, :] - b[None, :, :]
     return np.sqrt((d * d).sum(-1))
@@ -168,7 +140,7 @@ def relations(targets: DataFrame, candidates: DataFrame, points: DataFrame,
               weight_correlation: float = 0.7, top: int | None = None,
               deletion: str = "listwise", entity="entity_id", ts="ts", value="value",
               block: int = BLOCK) -> DataFrame:
-    """(target, candidate, r, dist_score, score), all candidates or the `top` best per target.
+    """(target, candidate, r, dist_score, score), all candidates or at least the `top` best per target.
 
     `targets` are observed panels with gaps, `candidates` complete ones. r is the Pearson
     correlation, dist_score is 1 - d / d_max with the target's farthest candidate at 0. Where either
@@ -183,22 +155,17 @@ def relations(targets: DataFrame, candidates: DataFrame, points: DataFrame,
          .withColumnRenamed(entity, "id"))
     w = weight_correlation
 
+    # series of a single block need no bounds
+    if top is not None and 0 <= w <= 1 and points.limit(min(block, BEST_BLOCK) + 1).count() > min(block, BEST_BLOCK):
+        have = candidates.filter(F.col(value).isNotNull()).select(F.unix_date(F.col(ts).cast("date")).alias("d")).distinct()
+        days = np.sort(have.toArrow()["d"].to_numpy().astype(np.int64))  # a calendar
+        return best(t, c, days, w, top, min(block, BEST_BLOCK))
+
     def compare(a, b):
         used = [np.asarray(d) for d in a["days"] if d is not None]
         days = np.unique(np.concatenate(used)) if used else np.array([], int)
-        r = _correlate(_matrix(a, days), _matrix(b, days))
-        d = _distances(a[["lon", "lat"]].to_numpy(), b[["lon", "lat"]].to_numpy())
-        with np.errstate(all="ignore"):
-            near = 1.0 - d / a["d_max"].to_numpy()[:, None]
-        score = r * w + near * (1 - w)
-        other = a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
-        i, j = np.nonzero(other)
-        out = pd.DataFrame({"target": a["id"].to_numpy()[i], "candidate": b["id"].to_numpy()[j],
-                            "r": r[i, j], "dist_score": near[i, j], "score": score[i, j]})
-        if top is not None:
-            out = (out.sort_values(["target", "score", "candidate"], ascending=[True, False, True],
-                                   na_position="last").groupby("target", sort=False).head(top))
-        return out.astype(object).where(out.notna(), None)
+        return compared(a["id"].to_numpy(), a[["lon", "lat"]].to_numpy(float), a["d_max"].to_numpy(float), matrix(a["days"], a["vals"], days),
+                        b["id"].to_numpy(), b[["lon", "lat"]].to_numpy(float), matrix(b["days"], b["vals"], days), w, top)
 
     schema = "target string, candidate string, r double, dist_score double, score double"
     return _pairwise(t, c, _n_blocks(points, block), "id", compare, schema)
