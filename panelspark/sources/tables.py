@@ -1,5 +1,8 @@
 """Readings, locations and stage tables."""
 
+import functools
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 READINGS_COLUMNS = ("Date", "Well ID", "Measurement")
@@ -105,12 +108,21 @@ def to_long(wide: DataFrame, entities, entity="entity_id", ts="ts", value="value
 
 # --- stage tables ---------------------------------------------------------------------
 
+def fingerprint(df: DataFrame) -> str:
+    """A text that tells a table's rows apart from others', whatever their order: number, sum and exclusive or of the rows' hashes, and the schema."""
+    row = [F.col(f"`{c}`") for c in df.columns]
+    n, total, mixed = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.lit(1), *row).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(2), *row))).first()
+    return f"{n}-{total}-{mixed}-{zlib.crc32(df.schema.simpleString().encode()):08x}"
+
+
 def write_stage(df: DataFrame, directory: str, name: str, partition_by=None, sort_by=None) -> str:
-    """Write a stage table. With `sort_by`, files hold ranges of its first column, so readers can skip files and row groups."""
+    """Write a stage table. With `sort_by`, files hold ranges of its first column and Bloom filters on it, so readers can skip files and row groups."""
     path = f"{directory}/{name}"
     if sort_by:
         df = df.repartitionByRange(sort_by[0]).sortWithinPartitions(*sort_by)
     writer = df.write.mode("overwrite")
+    if sort_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{sort_by[0]}", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -132,11 +144,28 @@ def stage_exists(spark: SparkSession, directory: str, name: str) -> bool:
     return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
 
 
+RANGES = 64  # pushed down, at most
+FEW_CELLS = 10  # so many are looked up one by one in the Bloom filters, as Spark pushes no longer lists down
+
+
+def wanted_ranges(cells: DataFrame, key: str = "cell_id"):
+    """A condition on `key` that holds for all wanted cells and can be pushed to files: the few cells themselves, or at most RANGES ranges of them."""
+    low, high = cells.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return None
+    few = cells.select(key).distinct().limit(FEW_CELLS + 1).collect()
+    if len(few) <= FEW_CELLS:
+        return F.col(key).isin([r[0] for r in few])
+    part = F.floor((F.col(key) - F.lit(low)) * RANGES / (high - low + 1))
+    runs = cells.groupBy(part.alias("part")).agg(F.min(key).alias("a"), F.max(key).alias("b")).collect()
+    return functools.reduce(lambda x, y: x | y, [F.col(key).between(r["a"], r["b"]) for r in sorted(runs)])
+
+
 def read_cells(spark: SparkSession, directory: str, name: str, cells: DataFrame, variables) -> DataFrame:
-    """Chosen cells and variables of a stage grid: only those columns, and only row groups in the cells' range, are read."""
+    """Chosen cells and variables of a stage grid: only those columns, and only row groups that can hold the cells, are read."""
     grid = read_stage(spark, directory, name, ["cell_id", "ts", *variables])
     wanted = cells.select("cell_id")
-    low, high = wanted.agg(F.min("cell_id"), F.max("cell_id")).first()
-    if low is None:
+    condition = wanted_ranges(wanted)
+    if condition is None:
         return grid.limit(0)
-    return grid.filter(F.col("cell_id").between(low, high)).join(wanted, "cell_id", "left_semi")
+    return grid.filter(condition).join(wanted, "cell_id", "left_semi")
