@@ -7,7 +7,7 @@ from catalog.joins import _NEAREST_COARSE, coarse_cells, pb_candidates
 from catalog.projections import _GROUNDWATER
 from catalog.windows import CLEAN, PRIOR, middle
 from panelspark.config import DROUGHT_INDEX, FEATURE_VARIABLES, MONTHS, GridSpec, RunConfig
-from panelspark.operators import features as feat, folds, grid as grids, model, polygon, prior, relate, surface, timeline
+from panelspark.operators import features as feat, folds, grid as grids, least_squares, model, polygon, prior, relate, surface, timeline
 from panelspark.operators.nearest import without_position
 from panelspark.plans.imputation import fit_and_fill, linear_imputation, model_rows, satellite_rows
 from panelspark.plans.refinement import iterative_refinement
@@ -60,21 +60,63 @@ def _satellite_rows(spark, sf):
                           NET, ["sc_PDSI_pm_filled"])
 
 
+# least squares on all features in SQL: correlations of each fold's training rows (fold -1: all labelled rows), solved by elimination without
+# exchange of rows; a feature that the ones before it determine gets coefficient 0
+_FEATURES = [f'"{c}"' for c in ["sc_PDSI_pm_filled", *FEATURE_VARIABLES, *[f"{n}m_rw" for n in WINDOWS], *feat.DERIVED]]
+_INDICATORS = [f"CAST(month(ts) = {MONTHS.index(m) + 1} AS DOUBLE)" for m in sorted(MONTHS)]
+
+
+def least_squares_ctes(src, p):
+    """CTEs that end in `runs` (entity_id, ts, fold, split, value, yhat) from `src` (entity_id, ts, value, x)."""
+    return {
+        "labelled": f"SELECT *, ntile(5) OVER (PARTITION BY entity_id ORDER BY ts) AS test_fold FROM {src} WHERE value IS NOT NULL",
+        "folded": "SELECT l.*, fold, test_fold = fold AS is_test FROM labelled l CROSS JOIN (SELECT unnest(range(1, 6)) AS fold)",
+        "lots": CV["lots"],
+        "split": """SELECT entity_id, ts, fold, CASE WHEN is_test THEN 'test' WHEN rn <= ceil(n * 0.3e0) THEN 'validation' ELSE 'train' END AS split FROM lots
+            UNION ALL SELECT entity_id, ts, -1, 'all' FROM labelled""",
+        "fitted": f"SELECT s.entity_id, s.fold, s.ts, f.value, f.x FROM split s JOIN {src} f USING (entity_id, ts) WHERE split IN ('train', 'all')",
+        "long": f"SELECT entity_id, fold, ts, value, unnest(x) AS v, unnest(range(1, {p + 1})) AS i FROM fitted",
+        "mom": "SELECT entity_id, fold, i, count(*) AS n, avg(v) AS m, avg(value) AS my, avg(v * v) AS q FROM long GROUP BY 1, 2, 3",
+        "cen": "SELECT entity_id, fold, ts, i, v - m AS c, value - my AS cy, n, q FROM long JOIN mom USING (entity_id, fold, i)",
+        "dev": "SELECT entity_id, fold, i, CASE WHEN avg(c * c) > 1e-20 * any_value(q) THEN sqrt(avg(c * c)) ELSE 0e0 END AS sd, avg(c * cy) AS cy FROM cen GROUP BY 1, 2, 3",
+        "cov": """SELECT entity_id, fold, a.i, b.i AS j, avg(a.c * b.c) AS c FROM cen a JOIN cen b USING (entity_id, fold, ts) WHERE a.i <= b.i GROUP BY 1, 2, 3, 4""",
+        "cor": """SELECT entity_id, fold, i, j, CASE WHEN a.sd > 0 AND b.sd > 0 THEN c / (a.sd * b.sd) ELSE 0e0 END AS r FROM
+            (SELECT * FROM cov UNION ALL SELECT entity_id, fold, j, i, c FROM cov WHERE i < j) JOIN dev a USING (entity_id, fold, i)
+            JOIN (SELECT entity_id, fold, i AS j, sd FROM dev) b USING (entity_id, fold, j)""",
+        "lines": """SELECT entity_id, fold, i, list_append(list(r ORDER BY j), any_value(CASE WHEN sd > 0 THEN cy / sd ELSE 0e0 END)) AS line FROM cor JOIN dev USING (entity_id, fold, i)
+            GROUP BY 1, 2, 3""",
+        "start": "SELECT entity_id, fold, list(line ORDER BY i) AS m FROM lines GROUP BY 1, 2",
+        "steps": f"""SELECT entity_id, fold, CAST(0 AS BIGINT) AS k, m FROM start UNION ALL
+            SELECT entity_id, fold, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN prow ELSE list_transform(line, lambda x, j: x - line[k + 1] * prow[j]) END)
+            FROM (SELECT *, list_transform(m[k + 1], lambda x: CASE WHEN m[k + 1][k + 1] > 1e-9 THEN x / m[k + 1][k + 1] ELSE 0e0 END) AS prow FROM steps WHERE k < {p})""",
+        "beta": f"""SELECT entity_id, fold, list(CASE WHEN sd > 0 THEN b / sd ELSE 0e0 END ORDER BY i) AS b, list(m ORDER BY i) AS m, any_value(my) AS my FROM
+            (SELECT entity_id, fold, unnest(list_transform(m, lambda line: line[{p + 1}])) AS b, unnest(range(1, {p + 1})) AS i FROM steps WHERE k = {p})
+            JOIN dev USING (entity_id, fold, i) JOIN mom USING (entity_id, fold, i) GROUP BY 1, 2""",
+        "runs": f"""SELECT f.entity_id, f.ts, CAST(b.fold AS INTEGER) AS fold, s.split, f.value,
+            my + list_sum(list_transform(list_zip(f.x, b.m, b.b), lambda z: (z[1] - z[2]) * z[3])) AS yhat
+            FROM {src} f JOIN beta b USING (entity_id) LEFT JOIN split s ON s.entity_id = f.entity_id AND s.ts = f.ts AND s.fold = b.fold""",
+    }
+
+
+_LEAST = {**_CLIMATE, "mid": dense_sql("pb"),
+          "wide": "SELECT *, [" + ", ".join([*_FEATURES, *_INDICATORS]) + "] AS x FROM rolled JOIN near USING (entity_id) JOIN drought USING (cell_id, ts) "
+                  "JOIN land USING (cell_id, ts) JOIN g USING (cell_id, ts)",
+          "feat": "SELECT entity_id, ts, value, x FROM wide WHERE len(list_filter(x, lambda v: v IS NULL)) = 0"}
+_LEAST = with_("pb", "npts", "cells", "drought", "land", **_LEAST, **least_squares_ctes("feat", len(_FEATURES) + len(_INDICATORS))).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _fitted(spark, sf):
-    rows = cut_lineage(_satellite_rows(spark, sf), "rows")
-    fitted = model.fit_folds(folds.training_rows(rows, NET.folds, NET.validation_split, NET.seed), estimator="linear", last_fold=NET.folds)
-    return rows, cut_lineage(fitted, "fits")
+    return least_squares.fit_and_predict(cut_lineage(_satellite_rows(spark, sf), "rows"), NET.folds, NET.validation_split, NET.seed)[0]
 
 
-@query("M5_least_squares_folds")
+@query("M5_least_squares_folds", _LEAST + f"SELECT entity_id, ts, fold, split, {R('value', 4)} AS value, {R('yhat', 3)} AS yhat FROM runs WHERE fold > 0")
 def m5_ls(spark, sf):
-    return model.predictions(_fitted(spark, sf)[1])
+    return rounded(_fitted(spark, sf).filter("fold > 0"), 4, yhat=3)
 
 
-@query("M6_final_fit")
+@query("M6_final_fit", _LEAST + f"SELECT entity_id, ts, fold, split, {R('value', 4)} AS value, {R('yhat', 3)} AS yhat FROM runs WHERE fold = -1")
 def m6(spark, sf):
-    rows, fitted = _fitted(spark, sf)
-    return model.predictions(model.fit_final(rows, model.warm_starts(fitted, NET.folds), estimator="linear"))
+    return rounded(_fitted(spark, sf).filter("fold = -1"), 4, yhat=3)
 
 
 def plane(src, y, by, only):
@@ -154,9 +196,11 @@ def m8_linear(spark, sf):
     return rounded(linear_imputation(pd_daily(spark, sf), RunConfig(start=START, end=END, min_months=8)), 2)
 
 
-@query("M8_satellite_imputation")
+@query("M8_satellite_imputation", _LEAST + f"""SELECT entity_id, ts, {R('coalesce(pb.value, yhat)', 3)} AS value, pb.value IS NOT NULL AS is_observed
+    FROM (SELECT * FROM pb WHERE entity_id IN (SELECT entity_id FROM beta) AND ts BETWEEN DATE '{START}' AND DATE '{END}') pb
+    FULL JOIN (SELECT entity_id, ts, yhat FROM runs WHERE fold = -1) USING (entity_id, ts)""")
 def m8(spark, sf):
-    return fit_and_fill(pb_monthly(spark, sf), _satellite_rows(spark, sf), NET)["data"]
+    return rounded(fit_and_fill(pb_monthly(spark, sf), _satellite_rows(spark, sf), NET)["data"], 3)
 
 
 # --- neighbours -----------------------------------------------------------------------------
@@ -268,6 +312,14 @@ def m13b(spark, sf):
     return rounded(out.select("cell_id", "ts", "value"), 3)
 
 
+@query("M13_supplier_surfaces")
+def m13_suppliers(spark, sf):
+    # the complete suppliers on the grid of the polygons; from sf0.1 on there are more than one tile of them
+    cells = polygon.surface_grid(spark, diamond_edges(spark, sf), 97)[0]
+    out = surface.krige_panel(pa_monthly(spark, sf), supplier_points(spark, sf), cells, monthly_step=12)
+    return rounded(out.select("cell_id", "ts", "value"), 3)
+
+
 @query("M14_krige_panel", kriging_sql("""SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS t FROM pbc
     WHERE entity_id IN (SELECT entity_id FROM pbc GROUP BY 1 HAVING count(value) = (SELECT count(DISTINCT ts) FROM pbc))) WHERE t % 3 = 0""", "pb", "pbc"))
 def m14(spark, sf):
