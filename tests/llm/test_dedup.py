@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import TEXTS, rows_of
 
@@ -69,6 +70,39 @@ def test_suffix_dedup_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_bytes_are_sent_for_shared_anchors_only_and_spans_come_packed():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = text(300)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [text(300) + passage + text(300) for _ in range(200)]})
+    # of one half of the documents at a time, as by two tasks; a single bucket
+    sent = pa.Table.from_batches([b for lo in (0, 100) for b in suffix_dedup._dealt(1)(iter([batch.slice(lo, 100)]))])
+    assert sent["hashes"].nbytes < 0.9 * batch["text"].nbytes  # the pieces' own bytes are some four times the text
+    found = suffix_dedup._matched(suffix_dedup.HOT, 3)(None, sent)
+    assert found.num_rows <= 3 and len(set(found["part"].to_pylist())) == found.num_rows  # not one for each document
+    rows = suffix_dedup._merged(None, found).to_pylist()
+    assert sorted(r["doc"] for r in rows) == list(range(200))
+    whole = [np.frombuffer(r["spans"], np.uint32).reshape(-1, 2) for r in rows if r["doc"]]
+    assert all((s[:, 0] >= 300 - 2 * suffix_dedup.LENGTH).all() and (s[:, 1] <= 600 + 2 * suffix_dedup.LENGTH).all() and len(s) == 1 for s in whole)
+    asked = sum(int(np.diff(np.frombuffer(r["wanted"], np.uint32).reshape(-1, 2).astype(int), axis=1).sum()) for r in rows)
+    assert 0 < asked < 0.35 * 900 * 200  # where the passage begins and ends; every piece before, once the filter was full
+
+
+def test_texts_are_shuffled_once(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        df = suffix_dedup.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plan.count("FileScan parquet [doc_id") <= 1 and "ReusedExchange" in plan
+
+
 def test_column_wise_order_and_prefixes():
     rng = random.Random(1)
     for size in (1, 2, 9, 30):
