@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -16,6 +18,7 @@ from test_exact import expected_groups, expected_hits
 
 import corpus_pipeline
 from panelspark.llm import byte_bpe, html_extract, toxicity
+from panelspark.llm.common import steps
 from panelspark.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +78,21 @@ def test_pieces_are_forgotten(coder, reference, monkeypatch):
         assert coder.code(raw, np.array([0, len(raw)]))[0].tolist() == reference.encode_ordinary(t)
 
 
+def test_a_step_takes_a_bounded_part_of_a_worker(coder):
+    rng = random.Random(6)
+    some = [f"word{rng.randrange(5000)}" for _ in range(60_000)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(some[k:k + 600]) for k in range(0, 60_000, 600)] * 8})
+    coder.forget()
+    tracemalloc.start()
+    try:
+        for _, raw, offsets in steps(iter([batch]), "text", byte_bpe.STEP):
+            coder.code(raw, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20, peak >> 20  # two workers share an executor with a JVM that has filled its heap
+
+
 def test_codes_of_edge_texts(edge, reference):
     got = byte_bpe.digests(byte_bpe.encode(edge, vocabulary()))
     assert rows_of(got, *CODED) == expected_codes(reference, TEXTS)
