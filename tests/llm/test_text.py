@@ -174,6 +174,71 @@ def test_copies_of_a_page_are_one_page(spark, monkeypatch, group):
     assert got == list(enumerate([*want, *[" ".join(texts[1])] * 2]))
 
 
+NOTICE = "sign up to get all of our stories by mail each day"
+
+
+@pytest.mark.parametrize("group", [html_extract.GROUP_TOKENS, 5])
+def test_notices_inside_articles_are_cut(spark, monkeypatch, group):
+    monkeypatch.setattr(html_extract, "GROUP_TOKENS", group)
+    def own(k, n=20):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+    shared = "a sentence of the prose that three of the pages quote word by word"
+    pages = [(k, "http://a.org/p", f"<article><p>{own(k)}</p><div><p>{NOTICE}</p></div>{f'<p>{shared}</p>' if k < 3 else ''}<p>{own(k + 50)}</p></article>") for k in range(6)]
+    pages += [(6, "http://a.org/q", f"<nav>other menu</nav>{pages[5][2]}")]  # a copy
+    pages += [(7, "http://a.org", f"<main><p>{NOTICE}<p>{own(7, 9)}</main>"), (8, "http://a.org", f"<article><p>he said {NOTICE} and left {own(8)}</p></article>")]
+    pages += [(20 + k, "http://b.org", p) for k, (_, _, p) in enumerate(pages[:4])]  # too few pages
+    pages += [(30 + k, "http://c.org", f"<article><p>{own(90)}</p><p>{own(91)}</p><p>{own(k)}</p></article>") for k in range(6)]  # versions of one article
+    pages += [(40 + k, "http://d.org", f"<article><p>{own(k)}</p><p>{NOTICE}</p></article>") for k in range(5) for _ in range(3)]
+    pages += [(50 + k, "http://d.org", f"<article><p>{own(k + 50)}</p></article>") for k in range(5)]  # half of the texts, most of the rows
+    got = rows_of(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text")
+
+    def text(p):
+        return " ".join(re.sub("<nav>.*?</nav>|<[^>]*>", " ", p).split())
+    want = [(k, text(p.replace(f"<p>{NOTICE}</p>", "") if k < 7 else p)) for k, _, p in pages]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("group", [html_extract.GROUP_TOKENS, 50])
+def test_main_texts_against_windows(spark, monkeypatch, group):
+    monkeypatch.setattr(html_extract, "GROUP_TOKENS", group)
+    rng = np.random.default_rng(8)
+    stock = [" ".join(f"s{rng.integers(0, 9)}" for _ in range(rng.integers(3, 14))) for _ in range(12)]
+    pages = []
+    for k in range(160):
+        blocks = [" ".join(f"t{rng.integers(0, 40)}" for _ in range(rng.integers(1, 60))) for _ in range(rng.integers(1, 5))]
+        some = rng.permutation(12)[:rng.integers(0, 5)] // 3
+        for j in [*some, 11, 11][:rng.integers(0, 7)]:
+            blocks.insert(rng.integers(0, len(blocks) + 1), stock[j])
+        pages.append((f"h{rng.integers(0, 9) ** 2 // 9}", blocks))
+    pages += [pages[j] for j in rng.integers(0, 160, 60)]
+    texts, where = defaultdict(set), defaultdict(set)
+    for host, blocks in pages:
+        t = " ".join(blocks).split()
+        texts[host].add(" ".join(t))
+        for k in range(len(t) - 7):
+            where[host, tuple(t[k:k + 8])].add(" ".join(t))
+    want, n_cut = [], 0
+    for host, blocks in pages:
+        t, least = " ".join(blocks).split(), max(5, len(texts[host]) // 2 + 1)
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 7):
+            if len(where[host, tuple(t[k:k + 8])]) >= least:
+                gone[k:k + 8] = True
+        kept, at = [], 0
+        for b in blocks:
+            n = len(b.split())
+            if not gone[at:at + n].all():
+                kept.append(b)
+            at += n
+        whole = 2 * len(" ".join(kept).split()) < len(t)
+        n_cut += not whole and len(kept) < len(blocks)
+        want.append(" ".join(blocks if whole else kept))
+    assert 20 < n_cut < 200
+    rows = [(k, f"http://{h}.org/{k}", f"<article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>") for k, (h, blocks) in enumerate(pages)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)), "page_id", "text")
+    assert sorted(got) == list(enumerate(want))
+
+
 def test_repeated_runs_against_windows():
     rng = np.random.default_rng(3)
     for _ in range(20):
