@@ -5,6 +5,7 @@ from catalog.common import (END, JD, R, START, dense_sql, nation_points, pa_dail
 from catalog.joins import _SPARSE_GRID, _sparse_grid, pb_candidates
 from catalog.projections import _AREA, _CURVE
 from panelspark.operators import clean, folds, grid as grids, prior, relate, report, storage, surface, timeline
+from panelspark.session import cut_lineage
 
 
 @query("A1_qualifying", with_("pd") + f"""SELECT entity_id, ts, {R('value', 4)} AS value FROM pd WHERE entity_id IN (SELECT entity_id FROM pd
@@ -150,10 +151,10 @@ def a11(spark, sf):
                                  for k, v in RELATION.items()}) +
        f"SELECT target, candidate, {R('score')} AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def t1(spark, sf):
-    panel = pa_monthly(spark, sf)
+    panel = cut_lineage(pa_monthly(spark, sf), "monthly")  # both panels are read several times
     mean = panel.groupBy("entity_id").agg(F.round(F.avg("value"), 6).alias("_m"))
-    full = timeline.densify(panel, START, END).join(mean, "entity_id").select(
-        "entity_id", "ts", F.coalesce("value", "_m").alias("value"))
+    full = cut_lineage(timeline.densify(panel, START, END).join(mean, "entity_id").select(
+        "entity_id", "ts", F.coalesce("value", "_m").alias("value")), "monthly-full")
     rel = relate.relations(panel, full, supplier_points(spark, sf), top=5)
     return rounded(relate.rank_candidates(rel).filter("rank <= 5").select("target", "candidate", "score", "rank"))
 
